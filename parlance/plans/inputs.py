@@ -133,3 +133,42 @@ PREDICTIONS = """predictions AS (SELECT vec_id AS id, label AS y_true,
 
 def with_ctes(*parts: str, select: str) -> str:
     return "WITH " + ", ".join(parts) + " " + select
+
+
+def grid_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as parameter-search results: one row per parameter tuple with three metrics.
+
+    Metrics are ratios of whole-number sums, so they do not depend on the order of addition.
+    """
+    n = F.count(F.lit(1))
+    size = F.col("min_cluster_size")
+    cents = F.floor(F.col("l_discount") * 100 + 0.5).cast("long")
+    tax = F.floor(F.col("l_tax") * 100 + 0.5).cast("long")
+    rows = table(spark, sf_dir, "lineitem").groupBy(
+        F.concat(F.lit("enc_"), F.col("l_returnflag")).alias("embedding_model"),
+        F.col("l_linenumber").alias("n_neighbors"),
+        F.col("l_quantity").cast("int").alias("min_cluster_size"),
+    ).agg(
+        (F.sum(cents) / n / 100).alias("silhouette"),
+        (F.sum(tax) / n / 100).alias("diversity"),
+        (F.sum(F.col("l_partkey") % 1000) / n / 1000).alias("coherence_cv"),
+        n.alias("n_topics"),
+    )
+    failed = size % 17 == 0
+    return rows.withColumns({m: F.when(~failed, F.col(m)) for m in ("silhouette", "diversity", "coherence_cv")})
+
+
+GRID_RESULTS = """grid_results AS (SELECT embedding_model, n_neighbors, min_cluster_size, n_topics,
+  CASE WHEN min_cluster_size % 17 <> 0 THEN a / n_topics::DOUBLE / 100::DOUBLE END AS silhouette,
+  CASE WHEN min_cluster_size % 17 <> 0 THEN b / n_topics::DOUBLE / 100::DOUBLE END AS diversity,
+  CASE WHEN min_cluster_size % 17 <> 0 THEN c / n_topics::DOUBLE / 1000::DOUBLE END AS coherence_cv
+  FROM (SELECT concat('enc_', l_returnflag) AS embedding_model, l_linenumber AS n_neighbors,
+    CAST(l_quantity AS INTEGER) AS min_cluster_size, count(*) AS n_topics,
+    CAST(sum(CAST(floor(l_discount * 100 + 0.5::DOUBLE) AS BIGINT)) AS DOUBLE) AS a,
+    CAST(sum(CAST(floor(l_tax * 100 + 0.5::DOUBLE) AS BIGINT)) AS DOUBLE) AS b,
+    CAST(sum(l_partkey % 1000) AS DOUBLE) AS c FROM lineitem GROUP BY 1, 2, 3))"""
+
+
+def r6(expression: str) -> str:
+    """The SQL of the shared rounding rule."""
+    return f"floor(({expression}) * 1000000::DOUBLE + 0.5::DOUBLE) / 1000000::DOUBLE"
