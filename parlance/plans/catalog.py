@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.plans import join_queries, report_queries, sampling_queries, text_queries  # noqa: F401
+from parlance.plans import (  # noqa: F401
+    classify_queries,
+    evaluation_queries,
+    join_queries,
+    language_queries,
+    report_queries,
+    sampling_queries,
+    source_queries,
+    text_queries,
+)
 from parlance.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
