@@ -13,6 +13,7 @@ from parlance.plans import (  # noqa: F401
     sampling_queries,
     source_queries,
     text_queries,
+    topic_queries,
 )
 from parlance.plans.registry import ORACLES, QUERIES
 

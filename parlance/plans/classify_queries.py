@@ -102,7 +102,10 @@ def _(spark, sf):
     return both.groupBy("category", F.coalesce("grade", F.lit("none")).alias("grade")).agg(F.count("*").alias("n"))
 
 
-@query("h20_external_model")
+@query(
+    "h20_external_model",
+    """SELECT count(*) AS "rows", count(DISTINCT source) AS groups FROM documents WHERE length(text) > 0""",
+)
 def _(spark, sf):
     """The extension point with a stand-in model that counts characters."""
     from pyspark.sql import types as T
