@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from parlance.plans import (  # noqa: F401
     classify_queries,
     evaluation_queries,
+    feature_queries,
     join_queries,
     language_queries,
     report_queries,
