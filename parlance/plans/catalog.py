@@ -13,6 +13,7 @@ from parlance.plans import (  # noqa: F401
     report_queries,
     sampling_queries,
     source_queries,
+    stream_queries,
     text_queries,
     topic_queries,
 )
@@ -22,4 +23,4 @@ __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["c12_messages_per_month_and_group"](spark, sf_dir)
+    return QUERIES["i04_weekly_toxicity_profile"](spark, sf_dir)
