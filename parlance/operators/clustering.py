@@ -72,8 +72,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node`` and ``label``, the smallest node of its component.
 
     ``edges`` (``src``, ``dst``) must hold both directions. Every round each node, and the root it
-    points at, takes the smallest label seen across its edges, and pointers are halved; each round
-    is written to the checkpoint folder, so the plan stays short and a lost executor repeats one
+    points at, takes the smallest label seen across its edges or held by its root; each round is
+    written to the checkpoint folder, so the plan stays short and a lost executor repeats one
     round only.
     """
     links = saved(edges.select("src", "dst").distinct(), "edges")
@@ -86,17 +86,16 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             F.explode(F.array("src", "label_src")).alias("node"), F.col("label_dst").alias("offer")
         )
         offers = proposals.groupBy("node").agg(F.min("offer").alias("offer"))
-        hooked = labels.join(offers, "node", "left").select(
-            "node", F.col("label").alias("old"), F.least("label", F.coalesce("offer", "label")).alias("label")
+        roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        updated = labels.join(offers, "node", "left").join(roots, "label", "left").select(
+            "node",
+            F.col("label").alias("old"),
+            F.least("label", F.coalesce("offer", "label"), F.coalesce("root", "label")).alias("label"),
         )
-        hooked = checkpointed(hooked)
-        roots = hooked.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        updated = checkpointed(
-            hooked.join(roots, "label", "left").select("node", "old", F.coalesce("root", "label").alias("label"))
-        )
-        changed = updated.filter(F.col("old") != F.col("label")).limit(1).count()
+        updated = checkpointed(updated)
+        unchanged = updated.filter(F.col("old") != F.col("label")).isEmpty()
         labels = updated.select("node", "label")
-        if not changed:
+        if unchanged:
             return labels
 
 

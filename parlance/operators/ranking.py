@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.session import saved
+
 
 def hash_order(seed: int | str, *keys: str | Column) -> Column:
     """A reproducible shuffle key: the hex MD5 of the seed and the key columns."""
@@ -62,23 +64,16 @@ def hash_row_number(
 
 
 def cumulative(
-    df: DataFrame, group: Sequence[str], order: str, values: Sequence[str], prefix: str = "cum_", slices: int = 256
+    df: DataFrame, group: Sequence[str], order: str, values: Sequence[str], prefix: str = "cum_"
 ) -> DataFrame:
     """Inclusive running sums of ``values`` by ascending ``order`` within ``group``.
 
-    ``(group, order)`` must be unique (aggregate first). Slice borders come from
-    ``percentile_approx``; they only balance the work and do not affect the result.
+    ``(group, order)`` must be unique (aggregate first). The rows are range-partitioned by Spark,
+    and stored with their partition number as slice, so every later step sees the same slices.
     """
     group = list(group)
-    probabilities = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    borders = df.groupBy(*group).agg(F.percentile_approx(order, probabilities, F.lit(slices * 20)).alias("__borders"))
-    if group:
-        bordered = join_null_safe(df, borders, group)
-    else:
-        bordered = df.withColumn("__borders", borders.scalar())
-    sliced = bordered.withColumn(
-        "__slice", F.size(F.filter(F.array_distinct("__borders"), lambda b: b < F.col(order)))
-    ).drop("__borders")
+    ranged = df.repartitionByRange(*group, order).withColumn("__slice", F.spark_partition_id())
+    sliced = saved(ranged, "slices")
     partial = sliced.groupBy(*group, "__slice").agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
     before = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = partial.select(
@@ -93,7 +88,7 @@ def cumulative(
 
 
 def exact_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, probabilities: dict[str, float], slices: int = 256
+    df: DataFrame, group: Sequence[str], value: str, probabilities: dict[str, float]
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, one row per group.
 
@@ -105,7 +100,7 @@ def exact_quantiles(
     source = df if group else df.withColumn("__all", F.lit(0))
     counts = source.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("__total"))
-    running = join_null_safe(cumulative(counts, keys, value, ["n"], slices=slices), totals, keys)
+    running = join_null_safe(cumulative(counts, keys, value, ["n"]), totals, keys)
     picks, results = [], []
     for name, p in probabilities.items():
         position = (F.col("__total") - 1) * F.lit(float(p))

@@ -36,7 +36,7 @@ def label_counts(df: DataFrame, features: Sequence[str], label: str) -> tuple[Da
 
 
 def gini_ranking(
-    df: DataFrame, features: Sequence[str], label: str, n_thresholds: int | None = None, slices: int = 256
+    df: DataFrame, features: Sequence[str], label: str, n_thresholds: int | None = None
 ) -> DataFrame:
     """Gini gain of every (feature, threshold), rows at or below the threshold on the left.
 
@@ -46,7 +46,7 @@ def gini_ranking(
     """
     counts, columns = label_counts(df, features, label)
     counts = saved(counts, "value-counts")
-    running = cumulative(counts, ["feature"], "value", ["one", *columns], prefix="left_", slices=slices)
+    running = cumulative(counts, ["feature"], "value", ["one", *columns], prefix="left_")
     totals = counts.groupBy("feature").agg(F.sum("one").alias("m"), *[F.sum(c).alias(f"all_{c}") for c in columns])
     splits = running.select("feature", "value", *[f"left_{c}" for c in ("one", *columns)]).join(totals, "feature")
     if n_thresholds:

@@ -12,8 +12,10 @@ from parlance.plans.inputs import MESSAGES, macro_map, messages, post_topics, r6
 from parlance.plans.registry import query
 from parlance.plans.text_queries import STOPWORDS
 from parlance.schemas import TOXICITY_SCORES
+from parlance.session import spread
 
 KEY = ["doc_id"]
+FEATURES = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
 STOP_SQL = ", ".join(f"'{w}'" for w in STOPWORDS)
 TAG_CYCLE = ["noun", "verb", "adj", "det", "adp", "pron", "propn"]
 ENTITY_CYCLE = ["person", "org", "gpe"]
@@ -24,7 +26,11 @@ def round_all(df, *columns):
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
+def items(spark, sf):
+    return spread(table(spark, sf, "lineitem").select(*FEATURES, "l_returnflag"), "l_extendedprice")
 
 
 def lookup(spark, sf):
@@ -187,8 +193,6 @@ features_query("j10_all_features", ft.feature_names())
 
 # ---------------------------------------------------------------- feature selection
 
-FEATURES = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
-
 
 @query(
     "j11_language_features",
@@ -228,7 +232,7 @@ def _r8(expression):
     with_ctes(GINI_COUNTS, select=f"SELECT attribute, {r6('split')} AS split, {_r8('gini_gain')} AS gini_gain FROM gain"),
 )
 def _(spark, sf):
-    ranking = selection.gini_ranking(table(spark, sf, "lineitem"), FEATURES, "l_returnflag")
+    ranking = selection.gini_ranking(items(spark, sf), FEATURES, "l_returnflag")
     return ranking.select("attribute", rounded(F.col("split")).alias("split"), rounded(F.col("gini_gain"), 8).alias("gini_gain"))
 
 
@@ -247,7 +251,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    ranking = selection.gini_ranking(table(spark, sf, "lineitem"), FEATURES, "l_returnflag", n_thresholds=50)
+    ranking = selection.gini_ranking(items(spark, sf), FEATURES, "l_returnflag", n_thresholds=50)
     return ranking.select("attribute", rounded(F.col("split")).alias("split"), rounded(F.col("gini_gain"), 8).alias("gini_gain"))
 
 
@@ -260,13 +264,13 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    best = selection.best_splits(selection.gini_ranking(table(spark, sf, "lineitem"), FEATURES, "l_returnflag"))
+    best = selection.best_splits(selection.gini_ranking(items(spark, sf), FEATURES, "l_returnflag"))
     return best.select("attribute", rounded(F.col("split")).alias("split"), rounded(F.col("gini_gain"), 8).alias("gini_gain"))
 
 
 @query("j13_select_top")
 def _(spark, sf):
-    rows = table(spark, sf, "lineitem")
+    rows = items(spark, sf)
     ranking = selection.gini_ranking(rows, FEATURES, "l_returnflag", n_thresholds=50)
     return round_all(selection.select_top(rows, FEATURES, ranking, 3, 0.7), "split", "gini_gain")
 
@@ -281,7 +285,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return round_all(selection.spearman_matrix(table(spark, sf, "lineitem"), FEATURES), "correlation")
+    return round_all(selection.spearman_matrix(items(spark, sf), FEATURES), "correlation")
 
 
 # ---------------------------------------------------------------- token quality
