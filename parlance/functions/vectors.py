@@ -15,7 +15,7 @@ MAX_MATRIX_CELLS = 50_000_000
 
 
 def dot_products(vector: Column, matrix: Sequence[Sequence[float]]) -> Column:
-    """The products of an array column with every row of a small matrix, as an array.
+    """The products of an array column, scaled to length 1, with every row of a small matrix.
 
     The matrix (topics by dimensions) travels to the tasks once; each Arrow batch is one matrix
     product.
@@ -29,16 +29,22 @@ def dot_products(vector: Column, matrix: Sequence[Sequence[float]]) -> Column:
     def product(rows: pd.Series) -> pd.Series:
         if not len(rows):
             return pd.Series([], dtype=object)
-        return pd.Series(list(np.stack(rows.to_numpy()).astype("float64") @ transposed))
+        stacked = np.stack(rows.to_numpy()).astype("float64")
+        lengths = np.linalg.norm(stacked, axis=1, keepdims=True)
+        return pd.Series(list(np.divide(stacked, lengths, out=np.zeros_like(stacked), where=lengths > 0) @ transposed))
 
     return product(vector)
 
 
 def unit(vector: Column) -> Column:
-    """The array scaled to length 1; a zero vector stays zero."""
+    """The array scaled to length 1; a zero vector stays zero. The length is computed once per row."""
     doubles = F.transform(vector, lambda x: x.cast("double"))
-    length = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(doubles, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
+    return F.aggregate(
+        doubles,
+        F.lit(0.0),
+        lambda total, x: total + x * x,
+        lambda total: F.transform(doubles, lambda x: F.when(total > 0, x / F.sqrt(total)).otherwise(F.lit(0.0))),
+    )
 
 
 def group_vectors(df: DataFrame, group: str, vector: str, kind: str = "mean") -> DataFrame:

@@ -36,9 +36,10 @@ def window_masks(df: DataFrame, keys: Sequence[str], text: str, terms: DataFrame
 
 def window_counts(df: DataFrame, keys: Sequence[str], text: str, words: DataFrame, window: int) -> DataFrame:
     """Windows holding both of two words of a topic: ``topic``, ``i``, ``j`` (i <= j), ``n``."""
-    terms = saved(words.select("term").distinct(), "terms")
+    listed = saved(words.select("topic", "rank", "term"), "topic-terms")
+    terms = listed.groupBy("term").agg(F.count(F.lit(1)).alias("__topics")).select("term")
     masks = window_masks(df, keys, text, broadcast_if_small(terms), window)
-    placed = masks.join(broadcast_if_small(saved(words.select("topic", "rank", "term"), "topic-terms")), "term")
+    placed = masks.join(broadcast_if_small(listed), "term")
     # One array per document, block and topic: at most as long as the topic's word list.
     sets = placed.groupBy(*keys, "block", "topic").agg(F.collect_list(F.struct("rank", "mask")).alias("w"))
     pairs = sets.select("topic", "w", F.explode("w").alias("a")).select("topic", "a", F.explode("w").alias("b"))

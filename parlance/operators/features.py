@@ -181,19 +181,25 @@ def document_tokens(df: DataFrame, keys: Sequence[str], text: str, lookup: DataF
 
 
 def token_features(token_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per document: tag counts and unique tag counts, norm totals, name entities, types and tokens."""
-    n = F.col("n")
-    is_word = ~F.col("tag").isin("punct", "sym", "space")
-    by_form = set(ENTITY_PATTERNS)
-    return token_rows.groupBy(*keys).agg(
-        *[F.coalesce(F.sum(F.when(F.col("tag") == t, n)), F.lit(0)).alias(f"n_{t}") for t in TAGS],
-        *[F.count_if(F.col("tag") == t).alias(f"n_u{t}") for t in TAGS],
-        *[F.coalesce(F.sum(F.col(m) * n), F.lit(0.0)).alias(f"t_{m}") for m in NORMS],
-        *[F.coalesce(F.sum(F.when(F.col("entity") == e, n)), F.lit(0)).alias(f"t_n_ent_{e}") for e in ENTITIES if e not in by_form],
-        F.coalesce(F.sum(F.when(is_word, n)), F.lit(0)).alias("__tokens"),
-        F.count_if(is_word).alias("__types"),
-        F.size(F.collect_set(F.when(is_word, F.col("lemma")))).alias("__lemmas"),
+    """Per document: tag counts and unique tag counts, norm totals, name entities, types, tokens and lemmas.
+
+    ``token_rows`` should be stored: four narrow aggregations read it, which keeps every one of
+    them small enough for generated code.
+    """
+    keys = list(keys)
+    named = [e for e in ENTITIES if e not in ENTITY_PATTERNS]
+    word = ~F.col("tag").isin("punct", "sym", "space")
+    tags = token_rows.groupBy(*keys).pivot("tag", TAGS).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("u"))
+    tags = tags.withColumnsRenamed({f"{t}_n": f"n_{t}" for t in TAGS} | {f"{t}_u": f"n_u{t}" for t in TAGS})
+    names = token_rows.filter(F.col("entity").isNotNull()).groupBy(*keys).pivot("entity", named).agg(F.sum("n"))
+    names = names.withColumnsRenamed({e: f"t_n_ent_{e}" for e in named})
+    norms = token_rows.groupBy(*keys).agg(
+        *[F.sum(F.col(m) * F.col("n")).alias(f"t_{m}") for m in NORMS], F.count_if(word).alias("__types")
+    )
+    lemmas = token_rows.filter(word).groupBy(*keys, "lemma").agg(F.sum("n").alias("n")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__lemmas"), F.sum("n").alias("__tokens")
     )
+    return norms.join(tags, keys, "left").join(names, keys, "left").join(lemmas, keys, "left").fillna(0)
 
 
 def tag_variation(tag: str) -> dict[str, Column]:
@@ -211,7 +217,7 @@ def linguistic_features(
     """All features, one row per document; ``keys`` identify a document."""
     counted = add_reading_time(add_readability(add_averages(add_counts(df.select(*keys, text), text, stopwords))))
     base = add_pattern_entities(counted, text).drop(text)
-    from_tokens = token_features(document_tokens(df, keys, text, lookup), keys)
+    from_tokens = token_features(saved(document_tokens(df, keys, text, lookup), "document-tokens"), keys)
     rows = base.join(from_tokens, list(keys), "left").fillna(0)
     word, sent = F.col("t_word"), F.col("t_sent")
     total = sum((F.col(f"t_n_ent_{e}") for e in ENTITIES), F.lit(0))

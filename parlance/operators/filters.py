@@ -11,14 +11,24 @@ from parlance.functions import text as tx
 from parlance.schemas import REACTIONS
 
 
+def with_computed(df: DataFrame, out: str, value: Column) -> DataFrame:
+    """Add an expensive column that later filters and projections reuse.
+
+    The optimizer copies a plain column's expression into every filter and projection above it. A
+    one-row generator keeps it computed once.
+    """
+    return df.drop(out).select("*", F.inline(F.array(F.struct(value.alias(out)))))
+
+
 def clean_and_keep_long(df: DataFrame, text: str = "text", out: str = "text_clean", min_length: int = 20) -> DataFrame:
     """Strip URLs and mentions into ``out`` and keep rows of at least ``min_length`` characters."""
-    return df.withColumn(out, tx.strip_urls_and_mentions(F.col(text))).filter(F.length(out) >= min_length)
+    cleaned = with_computed(df, out, tx.strip_urls_and_mentions(F.col(text)))
+    return cleaned.filter(F.length(out) >= min_length)
 
 
 def keep_longer_than(df: DataFrame, column: str, length: int = 20) -> DataFrame:
-    """Keep non-empty text strictly longer than ``length``."""
-    return df.filter(F.col(column).isNotNull() & (F.col(column) != "") & (F.length(column) > length))
+    """Keep text strictly longer than ``length`` (missing and empty text never is)."""
+    return df.filter(F.length(F.coalesce(column, F.lit(""))) > length)
 
 
 def add_period(df: DataFrame, epoch: str = "timestamp") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
+from parlance.operators.filters import with_computed
 from parlance.session import broadcast_if_small, saved
 
 
@@ -51,7 +52,7 @@ def normalise(
     ``keys`` must identify a row when a dictionary is given.
     """
     if dictionary is None:
-        return df.withColumn(out, tx.normalised_text(F.col(text), stopwords))
+        return with_computed(df, out, tx.normalised_text(F.col(text), stopwords))
     words = tx.normalised_tokens(F.col(text), stopwords)
     lemmas = lemmatise(explode_tokens(df, keys, words), dictionary)
     joined = df.join(collect_text(lemmas, keys, "lemma", out), list(keys), "left")

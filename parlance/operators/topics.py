@@ -81,13 +81,14 @@ def silhouette_exact(df: DataFrame, vector: str, topic: str = "topic") -> DataFr
     For unit vectors the mean distance of a row to a cluster needs only the cluster's vector sum:
     ``1 - x . S / n`` for another cluster, ``(n - x . S) / (n - 1)`` for its own. A single-row cluster scores 0.
     """
-    rows = df.filter(F.col(topic) != OUTLIER).select(F.col(topic).alias("topic"), unit(F.col(vector)).alias("__u"))
-    topics, sums, sizes = collect_matrix(group_vectors(rows, "topic", "__u", "sum"), "topic")
+    rows = df.filter(F.col(topic) != OUTLIER).select(F.col(topic).alias("topic"), F.col(vector).alias("__v"))
+    units = rows.select("topic", unit(F.col("__v")).alias("__u"))
+    topics, sums, sizes = collect_matrix(group_vectors(units, "topic", "__u", "sum"), "topic")
     if len(topics) < 2:
         return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("silhouette"))
     n = F.array(*[F.lit(float(s)) for s in sizes])
     own = F.array_position(F.array(*[F.lit(t) for t in topics]), F.col("topic")).cast("int") - 1
-    scored = rows.withColumn("__dots", dot_products(F.col("__u"), sums)).withColumns({"__own": own, "__n": n})
+    scored = rows.withColumn("__dots", dot_products(F.col("__v"), sums)).withColumns({"__own": own, "__n": n})
     own_n = F.col("__n")[F.col("__own")]
     a = (own_n - F.col("__dots")[F.col("__own")]) / (own_n - 1)
     others = F.transform(
@@ -108,7 +109,7 @@ def reduce_outliers(df: DataFrame, vector: str, threshold: float = 0.0, topic: s
         return df.withColumn("similarity", F.lit(None).cast("double"))
     lengths = [sum(x * x for x in m) ** 0.5 or 1.0 for m in means]
     units = [[x / length for x in m] for m, length in zip(means, lengths)]
-    outliers = df.filter(F.col(topic) == OUTLIER).withColumn("__sim", dot_products(unit(F.col(vector)), units))
+    outliers = df.filter(F.col(topic) == OUTLIER).withColumn("__sim", dot_products(F.col(vector), units))
     best = F.array_max("__sim")
     nearest = F.array(*[F.lit(t) for t in topics])[F.array_position("__sim", best).cast("int") - 1]
     moved = outliers.withColumns(
@@ -201,7 +202,7 @@ def topic_similarity(vectors: DataFrame, topic: str = "topic", max_topics: int =
     topics, matrix, _ = collect_matrix(vectors, topic, max_topics)
     lengths = [sum(x * x for x in m) ** 0.5 or 1.0 for m in matrix]
     units = [[x / length for x in m] for m, length in zip(matrix, lengths)]
-    rows = vectors.select(F.col(topic).alias("topic_a"), dot_products(unit(F.col("vector")), units).alias("s"))
+    rows = vectors.select(F.col(topic).alias("topic_a"), dot_products(F.col("vector"), units).alias("s"))
     pairs = F.arrays_zip(F.array(*[F.lit(t) for t in topics]).alias("topic_b"), F.col("s").alias("similarity"))
     return rows.select("topic_a", F.inline(pairs)).toDF("topic_a", "topic_b", "similarity")
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.functions import text as tx
 from parlance.functions import vectors as vec
 from parlance.functions.numbers import rounded
 from parlance.operators import clustering, coherence, joins, topics
+from parlance.operators.lemmas import normalise
 from parlance.plans.inputs import MACRO_MAP, POST_TOPICS, macro_map, post_topics, r6, table, with_ctes
 from parlance.plans.registry import query
 from parlance.plans.text_queries import STOPWORDS, normal_ctes
@@ -20,7 +20,7 @@ TERMS_SQL = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}'
 
 def clean_topics(spark, sf):
     """Messages with a topic and normalised text."""
-    return post_topics(spark, sf).withColumn("clean_text", tx.normalised_text(F.col("text"), STOPWORDS))
+    return normalise(post_topics(spark, sf), "text", KEY, stopwords=STOPWORDS)
 
 
 CLEAN = POST_TOPICS + ", " + normal_ctes("post_topics", "id, group_name, topic")
@@ -209,7 +209,7 @@ COHERENCE = """tw AS (SELECT topic, rank, term FROM top_words WHERE topic <> -1)
 
 
 def coherence_words(spark, sf):
-    rows = clean_topics(spark, sf)
+    rows = saved(clean_topics(spark, sf), "clean-topics")
     return rows, topics.top_words(topics.topic_weights(rows, "topic", "clean_text"))
 
 
