@@ -63,12 +63,12 @@ POSTS = """posts AS (SELECT event_id AS id, CASE WHEN event_id % 11 <> 0 THEN us
 
 
 def repeated_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts with every tenth row twice."""
+    """Posts with every row of one kind twice."""
     base = posts(spark, sf_dir)
-    return base.unionByName(base.filter(F.col("id") % 10 == 0))
+    return base.unionByName(base.filter(F.col("group_name") == "error"))
 
 
-REPEATED_POSTS = POSTS + """, repeated_posts AS (SELECT * FROM posts UNION ALL SELECT * FROM posts WHERE id % 10 = 0)"""
+REPEATED_POSTS = POSTS + """, repeated_posts AS (SELECT * FROM posts UNION ALL SELECT * FROM posts WHERE group_name = 'error')"""
 
 
 def post_topics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions.numbers import rounded
-from parlance.operators import filters, joins, ranking
+from parlance.operators import filters, joins
 from parlance.plans.inputs import (
     GRID_RESULTS,
     MACRO_MAP,
@@ -44,12 +44,13 @@ def _(spark, sf):
     with_ctes(
         MESSAGES,
         select="""SELECT id, group_name, lang FROM messages m WHERE EXISTS (
-        SELECT 1 FROM messages s WHERE s.id = m.id AND s.group_name = m.group_name AND md5('42_' || s.id) < '4')""",
+        SELECT 1 FROM labels l WHERE l.doc_id = m.id)""",
     ),
 )
 def _(spark, sf):
     base = messages(spark, sf)
-    ids = base.filter(ranking.hash_order(42, "id") < "4").select("id", "group_name")
+    labelled = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    ids = base.join(labelled, "id").select("id", "group_name")
     return joins.keep_keys(base, ids, ["id", "group_name"]).select("id", "group_name", "lang")
 
 
@@ -58,12 +59,12 @@ def _(spark, sf):
     with_ctes(
         MESSAGES,
         select="""SELECT m.id, m.group_name, l.quality, l.toxic FROM messages m
-        JOIN (SELECT * FROM labels UNION ALL SELECT * FROM labels WHERE doc_id % 10 = 0) l ON m.id = l.doc_id""",
+        JOIN (SELECT * FROM labels UNION ALL SELECT * FROM labels WHERE toxic = 1) l ON m.id = l.doc_id""",
     ),
 )
 def _(spark, sf):
     labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "id")
-    labels = labels.unionByName(labels.filter(F.col("id") % 10 == 0))
+    labels = labels.unionByName(labels.filter("toxic = 1"))
     return joins.join_labels(messages(spark, sf), labels, ["id"]).select("id", "group_name", "quality", "toxic")
 
 
@@ -147,28 +148,29 @@ def _(spark, sf):
 @query(
     "d08_topic_by_text",
     """SELECT d.doc_id AS id, coalesce(u.topic, -1) AS topic FROM documents d LEFT JOIN
-    (SELECT text, CAST(min(doc_id) % 13 AS BIGINT) AS topic FROM documents WHERE doc_id % 3 <> 0 GROUP BY text) u
+    (SELECT text, min(doc_id) AS topic FROM documents JOIN labels USING (doc_id) GROUP BY text) u
     ON d.text = u.text""",
 )
 def _(spark, sf):
     docs = messages(spark, sf)
-    unique = docs.filter(F.col("id") % 3 != 0).groupBy("text").agg((F.min("id") % 13).alias("topic"))
+    labelled = docs.join(table(spark, sf, "labels").select(F.col("doc_id").alias("id")), "id")
+    unique = labelled.groupBy("text").agg(F.min("id").alias("topic"))
     return joins.lookup_by_text(docs, unique, "text", "topic").fillna(-1, ["topic"]).select("id", "topic")
 
 
-ALIGNMENT_PAIR = """a AS (SELECT event_id AS id, event_type AS label, CASE WHEN event_id % 5 <> 0 THEN value END AS score
-  FROM events), b AS (SELECT event_id AS id, CASE WHEN event_id % 7 = 0 THEN 'other' ELSE event_type END AS label,
-  CASE WHEN event_id % 5 <> 0 AND event_id % 4 <> 0 THEN value END AS score FROM events WHERE event_id % 3 <> 0)"""
+ALIGNMENT_PAIR = """a AS (SELECT event_id AS id, event_type AS label, CASE WHEN value > 2 THEN value END AS score
+  FROM events), b AS (SELECT event_id AS id, CASE WHEN value > 20 THEN 'other' ELSE event_type END AS label,
+  CASE WHEN value > 2 AND event_type <> 'click' THEN value END AS score FROM events WHERE event_type <> 'view')"""
 
 
 def alignment_pair(spark, sf):
     events = table(spark, sf, "events")
-    i = F.col("event_id")
-    left = events.select(i.alias("id"), F.col("event_type").alias("label"), F.when(i % 5 != 0, F.col("value")).alias("score"))
-    right = events.filter(i % 3 != 0).select(
+    i, v, kind = F.col("event_id"), F.col("value"), F.col("event_type")
+    left = events.select(i.alias("id"), F.col("event_type").alias("label"), F.when(v > 2, v).alias("score"))
+    right = events.filter(kind != "view").select(
         i.alias("id"),
-        F.when(i % 7 == 0, "other").otherwise(F.col("event_type")).alias("label"),
-        F.when((i % 5 != 0) & (i % 4 != 0), F.col("value")).alias("score"),
+        F.when(v > 20, "other").otherwise(kind).alias("label"),
+        F.when((v > 2) & (kind != "click"), v).alias("score"),
     )
     return left, right
 
@@ -204,11 +206,11 @@ def _(spark, sf):
 @query(
     "d10_key_difference",
     """SELECT CASE WHEN r.id IS NULL THEN 'only_left' WHEN l.id IS NULL THEN 'only_right' ELSE 'both' END AS side,
-    count(*) AS "rows" FROM (SELECT doc_id AS id FROM documents WHERE doc_id % 6 <> 0) l
+    count(*) AS "rows" FROM (SELECT doc_id AS id FROM labels) l
     FULL JOIN (SELECT vec_id AS id FROM embeddings) r ON l.id = r.id GROUP BY 1""",
 )
 def _(spark, sf):
-    left = messages(spark, sf).filter(F.col("id") % 6 != 0)
+    left = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
     right = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
     return joins.key_difference(left, right, ["id"])
 

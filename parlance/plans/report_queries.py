@@ -55,12 +55,11 @@ def _(spark, sf):
     with_ctes(
         REPEATED_POSTS,
         select="""SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS messages FROM (
-        SELECT group_name, id % 2000 AS k, CAST(min(ts) AS DATE) AS day FROM repeated_posts GROUP BY 1, 2) GROUP BY 1""",
+        SELECT group_name, user_id AS k, CAST(min(ts) AS DATE) AS day FROM repeated_posts GROUP BY 1, 2) GROUP BY 1""",
     ),
 )
 def _(spark, sf):
-    keyed = repeated_posts(spark, sf).withColumn("id", F.col("id") % 2000)
-    return reports.daily_unique(keyed, "group_name", "ts").select(day_text("day"), "messages")
+    return reports.daily_unique(repeated_posts(spark, sf), "group_name", "ts", "user_id").select(day_text("day"), "messages")
 
 
 @query(
@@ -141,12 +140,12 @@ def _(spark, sf):
 @query(
     "e09_counts_in_order",
     """SELECT n.n_name AS label, coalesce(c.n, -1) AS n FROM nation n LEFT JOIN (
-    SELECT concat('NATION_', s_nationkey) AS label, count(*) AS n FROM supplier WHERE s_nationkey % 4 <> 1 GROUP BY 1) c
+    SELECT concat('NATION_', s_nationkey) AS label, count(*) AS n FROM supplier WHERE s_acctbal > 8000 GROUP BY 1) c
     ON n.n_name = c.label""",
 )
 def _(spark, sf):
     order = table(spark, sf, "nation").select(F.col("n_name").alias("label"))
-    rows = table(spark, sf, "supplier").filter("s_nationkey % 4 <> 1").select(
+    rows = table(spark, sf, "supplier").filter("s_acctbal > 8000").select(
         F.concat(F.lit("NATION_"), F.col("s_nationkey")).alias("label")
     )
     return reports.counts_in_order(rows, "label", order).fillna(-1, ["n"])
@@ -167,34 +166,36 @@ def _(spark, sf):
     return round_all(reports.user_activity(repeated_posts(spark, sf)), "mean_per_user", "percent_without_user")
 
 
+def ordered_posts(spark, sf):
+    """Orders as posts: the customer writes to the group of the order's priority."""
+    return table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("group_name")
+    )
+
+
 @query(
     "e11_bridge_users",
     with_ctes(
-        POSTS,
-        """g AS (SELECT user_id, count(DISTINCT group_name) AS k FROM posts WHERE user_id IS NOT NULL AND
-        (user_id % 3 <> 0 OR group_name = 'click') GROUP BY 1)""",
+        "g AS (SELECT o_custkey AS user_id, count(DISTINCT o_orderpriority) AS k FROM orders GROUP BY 1)",
         select=f"""SELECT count(*) FILTER (k = 1) AS one_group, count(*) FILTER (k > 1) AS several_groups,
         {r6('count(*) FILTER (k > 1) * 100.0::DOUBLE / count(*)')} AS percent_several, max(k) AS max_groups FROM g""",
     ),
 )
 def _(spark, sf):
-    rows = posts(spark, sf).filter("user_id % 3 <> 0 OR group_name = 'click'")
+    rows = ordered_posts(spark, sf)
     return round_all(reports.bridge_users(rows), "percent_several")
 
 
 @query(
     "e11b_bridge_users_per_group",
     with_ctes(
-        POSTS,
-        """p AS (SELECT DISTINCT user_id, group_name FROM posts WHERE user_id IS NOT NULL AND
-        (user_id % 3 <> 0 OR group_name = 'click'))""",
+        "p AS (SELECT DISTINCT o_custkey AS user_id, o_orderpriority AS group_name FROM orders)",
         select="""SELECT group_name, count(*) AS users, count(*) FILTER (k > 1) AS shared_users FROM p
         JOIN (SELECT user_id, count(*) AS k FROM p GROUP BY 1) USING (user_id) GROUP BY 1""",
     ),
 )
 def _(spark, sf):
-    rows = posts(spark, sf).filter("user_id % 3 <> 0 OR group_name = 'click'")
-    return reports.bridge_users_per_group(rows)
+    return reports.bridge_users_per_group(ordered_posts(spark, sf))
 
 
 DAILY = """daily AS (SELECT CAST(ts AS DATE) AS day, count(*) AS total, count(*) FILTER (group_name = 'click') AS kept
@@ -273,12 +274,12 @@ def _(spark, sf):
         SCORED_POSTS,
         select=f"""SELECT week, macro_topic, {r6('avg(toxicity)')} AS mean_score FROM (SELECT DISTINCT ts, {WEEK_SQL}
         AS week, macro_topic, id, group_name, toxicity FROM (SELECT * FROM scored_posts UNION ALL
-        SELECT * FROM scored_posts WHERE id % 4 = 0)) GROUP BY 1, 2""",
+        SELECT * FROM scored_posts WHERE toxicity > 0.5)) GROUP BY 1, 2""",
     ),
 )
 def _(spark, sf):
     scored = scored_posts(spark, sf)
-    repeated = scored.unionByName(scored.filter("id % 4 = 0"))
+    repeated = scored.unionByName(scored.filter("toxicity > 0.5"))
     weekly = reports.weekly_mean(repeated, "ts", "macro_topic", "toxicity", ["id", "group_name"])
     return round_all(weekly, "mean_score").withColumn("week", F.col("week").cast("string"))
 

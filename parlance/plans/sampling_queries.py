@@ -20,6 +20,7 @@ from parlance.plans.inputs import (
     r6,
     repeated_posts,
     scored_posts,
+    table,
     with_ctes,
 )
 from parlance.plans.registry import query
@@ -174,7 +175,7 @@ def _(spark, sf):
     "f09_sample_per_topic",
     with_ctes(
         POST_TOPICS,
-        "ex AS (SELECT DISTINCT topic, text FROM post_topics WHERE id % 20 = 0)",
+        "ex AS (SELECT DISTINCT topic, text FROM post_topics JOIN labels ON id = doc_id WHERE toxic = 1)",
         """d AS (SELECT DISTINCT topic, text FROM post_topics p WHERE NOT EXISTS (SELECT 1 FROM ex
         WHERE ex.topic = p.topic AND ex.text = p.text))""",
         select="""SELECT topic, rank, md5(text) AS text_hash FROM (SELECT *, row_number() OVER (PARTITION BY topic
@@ -183,7 +184,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     topics = post_topics(spark, sf)
-    rows = sampling.sample_per_group(topics, "topic", "text", 7, exclude=topics.filter("id % 20 = 0"))
+    toxic = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    rows = sampling.sample_per_group(topics, "topic", "text", 7, exclude=topics.join(toxic, "id"))
     return rows.select("topic", "rank", F.md5("text").alias("text_hash"))
 
 

@@ -97,14 +97,14 @@ def _(spark, sf):
         MESSAGES,
         select="""SELECT id, strftime(make_timestamp(CASE WHEN n > 100000000000 THEN n * 1000 ELSE n * 1000000 END),
         '%Y-%m-%d %H:%M:%S') AS moment, n IS NULL AS bad FROM (SELECT id, TRY_CAST(
-        CASE WHEN id % 5 = 0 THEN concat("timestamp", '000') WHEN id % 17 = 0 THEN 'x' || id
+        CASE WHEN lang = 'de' THEN concat("timestamp", '000') WHEN lang = 'es' THEN 'x' || id
         ELSE CAST("timestamp" AS VARCHAR) END AS BIGINT) AS n FROM messages)""",
     ),
 )
 def _(spark, sf):
     raw = (
-        F.when(F.col("id") % 5 == 0, F.concat("timestamp", F.lit("000")))
-        .when(F.col("id") % 17 == 0, F.concat(F.lit("x"), "id"))
+        F.when(F.col("lang") == "de", F.concat("timestamp", F.lit("000")))
+        .when(F.col("lang") == "es", F.concat(F.lit("x"), "id"))
         .otherwise(F.col("timestamp").cast("string"))
     )
     moment = tx.epoch_to_timestamp(F.col("raw"))
@@ -137,12 +137,12 @@ def _(spark, sf):
 @query(
     "b07_keep_valid_period",
     """SELECT event_id AS id, year(ts) AS year, month(ts) AS month FROM events
-    WHERE event_id % 13 <> 0 AND year(ts) = 2024""",
+    WHERE event_type <> 'error' AND year(ts) = 2024""",
 )
 def _(spark, sf):
     dated = posts(spark, sf).select(
         "id",
-        F.when(F.col("id") % 13 != 0, F.year("ts")).alias("year"),
+        F.when(F.col("group_name") != "error", F.year("ts")).alias("year"),
         F.month("ts").alias("month"),
     )
     return filters.keep_valid_period(dated, 2024)
@@ -153,12 +153,12 @@ def _(spark, sf):
     with_ctes(
         MESSAGES,
         select="""SELECT id, concat_ws('_', month(make_timestamp("timestamp" * 1000000)),
-        CASE WHEN id % 9 <> 0 THEN group_name END) AS strat_key FROM messages""",
+        CASE WHEN lang <> 'es' THEN group_name END) AS strat_key FROM messages""",
     ),
 )
 def _(spark, sf):
     dated = filters.add_period(messages(spark, sf)).withColumn(
-        "group_name", F.when(F.col("id") % 9 != 0, F.col("group_name"))
+        "group_name", F.when(F.col("lang") != "es", F.col("group_name"))
     )
     return filters.add_stratum(dated, ["month", "group_name"]).select("id", "strat_key")
 
@@ -166,14 +166,14 @@ def _(spark, sf):
 @query(
     "b09_coerce_timestamp",
     """SELECT id, strftime(t, '%Y-%m-%d %H:%M:%S') AS datetime, value FROM (SELECT event_id AS id,
-    TRY_CAST(CASE WHEN event_id % 7 = 0 THEN 'not a date' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP) AS t,
-    CASE WHEN event_id % 6 <> 0 THEN value END AS value FROM events) WHERE t IS NOT NULL AND value IS NOT NULL""",
+    TRY_CAST(CASE WHEN event_type = 'error' THEN 'not a date' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP) AS t,
+    CASE WHEN event_type <> 'view' THEN value END AS value FROM events) WHERE t IS NOT NULL AND value IS NOT NULL""",
 )
 def _(spark, sf):
     raw = posts(spark, sf).select(
         "id",
-        F.when(F.col("id") % 7 == 0, "not a date").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("datetime"),
-        F.when(F.col("id") % 6 != 0, F.col("score")).alias("value"),
+        F.when(F.col("group_name") == "error", "not a date").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("datetime"),
+        F.when(F.col("group_name") != "view", F.col("score")).alias("value"),
     )
     kept = filters.coerce_timestamp(raw, "datetime", ["datetime", "value"])
     return kept.withColumn("datetime", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"))
