@@ -13,9 +13,14 @@ from parlance.operators.ranking import hash_order, hash_row_number
 from parlance.session import saved
 
 
+MAX_LABELS = 100_000
+
+
 def encode_labels(df: DataFrame, label: str, out: str = "label_index") -> DataFrame:
-    """Number the labels alphabetically from 0. Only the distinct labels are ordered."""
-    distinct = df.filter(F.col(label).isNotNull()).select(label).distinct()
+    """Number the labels alphabetically from 0. Only the distinct labels, a bounded set, are ordered."""
+    distinct = saved(df.filter(F.col(label).isNotNull()).select(label).distinct(), "distinct-labels")
+    if distinct.count() > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     codes = distinct.withColumn(out, (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
     return df.join(saved(codes, "labels"), label, "left")
 

@@ -52,11 +52,14 @@ def outer_counts(total: DataFrame, kept: DataFrame, period: str) -> DataFrame:
 
 
 def map_macro_topics(posts: DataFrame, topic_macro: DataFrame, macro_political: DataFrame) -> DataFrame:
-    """Topic to macro topic to political category; -1 stays an outlier at both levels."""
-    mapped = posts.join(topic_macro, "topic", "left").withColumn(
+    """Topic to macro topic to political category; -1 stays an outlier at both levels.
+
+    Both lookups are stored first, so their size decides the join and a crowded topic stays spread.
+    """
+    mapped = posts.join(saved(topic_macro, "macro-topics"), "topic", "left").withColumn(
         "macro_topic", F.when(F.col("topic") == -1, "OUTLIERS").otherwise(F.col("macro_topic"))
     )
-    flagged = mapped.join(macro_political, "macro_topic", "left")
+    flagged = mapped.join(saved(macro_political, "macro-flags"), "macro_topic", "left")
     category = (
         F.when(F.col("macro_topic") == "OUTLIERS", "Outliers")
         .when(F.col("is_political"), "Politic")

@@ -25,8 +25,8 @@ def distinct_lemmas(dictionary: DataFrame) -> DataFrame:
 def lemmatise(token_rows: DataFrame, dictionary: DataFrame, max_broadcast: int = 200_000) -> DataFrame:
     """Add ``lemma``; a token the dictionary lacks stays as it is.
 
-    The dictionary is stored once and broadcast only while it is small. Above that, the distinct
-    tokens are looked up first, so a frequent word crosses the join once per map task.
+    The dictionary is stored once and broadcast only while it is small. Above that the join shuffles,
+    and adaptive execution splits the partitions of frequent words.
     """
     known = saved(distinct_lemmas(dictionary), "lemmas")
     joined = token_rows.join(broadcast_if_small(known, max_broadcast), "token", "left")

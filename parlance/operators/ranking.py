@@ -3,7 +3,8 @@
 A plain ``row_number() over (partition by key order by x)`` sends each group to one task. When one
 group holds a third of a huge table that task never ends, so the operators here cut each group
 into order-preserving slices, count the slices, and add the count of all earlier slices to the
-position inside the slice. The result is exact.
+position inside the slice. The result is exact. Slice counts and group totals are stored before they
+are joined back: their size is then known, and the join need not shuffle the rows by a hot group.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def hash_row_number(
     offsets = counts.select(*group, "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = Window.partitionBy(*group, "__slice").orderBy(order_hash, *tie)
     return (
-        join_null_safe(sliced, offsets, [*group, "__slice"])
+        join_null_safe(sliced, saved(offsets, "offsets"), [*group, "__slice"])
         .withColumn(out, (F.col("__before") + F.row_number().over(inside)).cast("long"))
         .drop("__slice", "__before")
     )
@@ -81,7 +82,7 @@ def cumulative(
     )
     inside = Window.partitionBy(*group, "__slice").orderBy(order)
     return (
-        join_null_safe(sliced, offsets, [*group, "__slice"])
+        join_null_safe(sliced, saved(offsets, "offsets"), [*group, "__slice"])
         .withColumns({prefix + v: F.col(f"__b_{v}") + F.sum(v).over(inside) for v in values})
         .drop("__slice", *[f"__b_{v}" for v in values])
     )
@@ -99,7 +100,8 @@ def exact_quantiles(
     keys = group or ["__all"]
     source = df if group else df.withColumn("__all", F.lit(0))
     counts = source.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("__total"))
+    counts = saved(counts, "value-counts")
+    totals = saved(counts.groupBy(*keys).agg(F.sum("n").alias("__total")), "totals")
     running = join_null_safe(cumulative(counts, keys, value, ["n"]), totals, keys)
     picks, results = [], []
     for name, p in probabilities.items():

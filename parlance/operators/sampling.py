@@ -130,7 +130,7 @@ def add_normalised_scores(
     bounds = source.groupBy(*keys).agg(
         *[F.min(m).alias(f"__lo_{m}") for m in metrics], *[F.max(m).alias(f"__hi_{m}") for m in metrics]
     )
-    joined = join_null_safe(source, bounds, keys)
+    joined = join_null_safe(source, saved(bounds, "bounds"), keys)
 
     def scaled(metric: str) -> Column:
         low, high = F.col(f"__lo_{metric}"), F.col(f"__hi_{metric}")

@@ -48,6 +48,7 @@ def gini_ranking(
     counts = saved(counts, "value-counts")
     running = cumulative(counts, ["feature"], "value", ["one", *columns], prefix="left_")
     totals = counts.groupBy("feature").agg(F.sum("one").alias("m"), *[F.sum(c).alias(f"all_{c}") for c in columns])
+    totals = saved(totals, "feature-totals")
     splits = running.select("feature", "value", *[f"left_{c}" for c in ("one", *columns)]).join(totals, "feature")
     if n_thresholds:
         splits = _at_percentiles(saved(splits, "splits"), n_thresholds)

@@ -31,7 +31,7 @@ def term_counts(df: DataFrame, keys: Sequence[str], text: str, stopwords: Sequen
 def class_tfidf(counts: DataFrame, topic: str = "topic") -> DataFrame:
     """Class TF-IDF of (topic, term, n) counts: share of the topic's words times
     ``ln(1 + mean words per topic / occurrences of the term)``."""
-    per_topic = counts.groupBy(topic).agg(F.sum("n").alias("__words"))
+    per_topic = saved(counts.groupBy(topic).agg(F.sum("n").alias("__words")), "topic-words")
     per_term = counts.groupBy("term").agg(F.sum("n").alias("__freq"))
     mean_words = per_topic.select(F.avg("__words")).scalar()
     joined = counts.join(per_term, "term").join(per_topic, topic)
@@ -128,7 +128,7 @@ def representative_documents(
     """
     counts = term_counts(df, [*keys, topic], text).withColumnRenamed("n", "__n")
     stored = saved(weights.select(topic, "term", "idf", "weight"), "topic-weights")
-    norms = stored.groupBy(topic).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("__norm"))
+    norms = saved(stored.groupBy(topic).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("__norm")), "norms")
     joined = counts.join(broadcast_if_small(stored, 500_000), [topic, "term"])
     value = F.col("__n") * F.col("idf")
     scored = joined.groupBy(*keys, topic).agg(

@@ -10,7 +10,6 @@ from parlance.plans.inputs import (
     MACRO_MAP,
     MESSAGES,
     POST_TOPICS,
-    POSTS,
     WEB_MESSAGES,
     macro_map,
     messages,

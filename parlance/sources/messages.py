@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.schemas import RAW_MESSAGE
+from parlance.session import saved
 
 # Where the group and the channel number stand in a dump path. Folders may be
 # written by Spark itself (``group_name=...``).
@@ -70,7 +71,7 @@ def add_lineage(df: DataFrame) -> DataFrame:
 def keep_allowed(df: DataFrame, allowed: DataFrame, column: str = "group_name") -> DataFrame:
     """Rows of the groups named in the one-column allow-list; its size decides the join."""
     names = allowed.select(F.trim(F.col(allowed.columns[0])).alias(column)).distinct()
-    return df.join(names, column, "left_semi")
+    return df.join(saved(names, "allowed"), column, "left_semi")
 
 
 def load_tables(

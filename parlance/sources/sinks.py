@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.session import saved
+
 PERIOD = ["year", "month"]
 
 LEDGER = T.StructType(
@@ -52,7 +54,7 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 def pending_periods(df: DataFrame, done: DataFrame) -> DataFrame:
     """Rows whose (year, month) is not yet in ``done``; rows without a period drop out."""
-    finished = done.select(*PERIOD).distinct()
+    finished = saved(done.select(*PERIOD).distinct(), "finished")
     return df.dropna(subset=PERIOD).join(finished, PERIOD, "left_anti")
 
 

@@ -70,10 +70,15 @@ def read_updated(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFra
 
 
 def ingest(
-    stream: DataFrame, text: str, epoch: str, path: str, checkpoint: str, stopwords: Sequence[str] = ()
+    stream: DataFrame, text: str, epoch: str, path: str, checkpoint: str, stopwords: Sequence[str] = (),
+    partitions: int | None = None,
 ) -> None:
-    """Normalise newly arrived messages and add them to the table partitioned by year and month."""
-    cleaned = filters.add_period(normalise(stream, text, [], stopwords=stopwords), epoch)
+    """Normalise newly arrived messages and add them to the table partitioned by year and month.
+
+    ``partitions`` spreads a source of few large files over that many tasks.
+    """
+    spread = stream.repartition(partitions) if partitions else stream
+    cleaned = filters.add_period(normalise(spread, text, [], stopwords=stopwords), epoch)
     drain(filters.keep_longer_than(cleaned, "clean_text"), checkpoint, batch_writer(path, sinks.PERIOD))
 
 
