@@ -123,12 +123,12 @@ def _(spark, sf):
     with_ctes(
         MESSAGES,
         select="""SELECT id, group_name FROM messages WHERE group_name IN (
-        SELECT source FROM documents d JOIN labels l USING (doc_id) WHERE toxic = 1 GROUP BY source HAVING count(*) > 2)""",
+        SELECT source FROM documents d JOIN labels l USING (doc_id) GROUP BY source HAVING avg(toxic) > 0.1)""",
     ),
 )
 def _(spark, sf):
-    toxic = table(spark, sf, "labels").filter("toxic = 1")
-    groups = table(spark, sf, "documents").join(toxic, "doc_id").groupBy("source").count().filter("count > 2")
+    labelled = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    groups = labelled.groupBy("source").agg(F.avg("toxic").alias("share")).filter("share > 0.1")
     return src.keep_allowed(messages(spark, sf), groups.select("source")).select("id", "group_name")
 
 
