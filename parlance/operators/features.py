@@ -202,12 +202,17 @@ def token_features(token_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return norms.join(tags, keys, "left").join(names, keys, "left").join(lemmas, keys, "left").fillna(0)
 
 
+def ratio_of(numerator: str, denominator: str) -> Column:
+    """``safe_ratio`` as one parsed expression; over a hundred columns are built this way, and composing
+    each from Python operators takes longer than running it."""
+    return F.expr(f"if({denominator} <> 0, cast({numerator} as double) / cast({denominator} as double), 0D)")
+
+
 def tag_variation(tag: str) -> dict[str, Column]:
-    u, n = F.col(f"n_u{tag}").cast("double"), F.col(f"n_{tag}").cast("double")
     return {
-        f"simp_{tag}_var": safe_ratio(u, n),
-        f"root_{tag}_var": safe_ratio(u, F.sqrt(n)),
-        f"corr_{tag}_var": safe_ratio(u, F.sqrt(2 * n)),
+        f"simp_{tag}_var": ratio_of(f"n_u{tag}", f"n_{tag}"),
+        f"root_{tag}_var": ratio_of(f"n_u{tag}", f"sqrt(n_{tag})"),
+        f"corr_{tag}_var": ratio_of(f"n_u{tag}", f"sqrt(2 * n_{tag})"),
     }
 
 
@@ -219,17 +224,14 @@ def linguistic_features(
     base = add_pattern_entities(counted, text).drop(text)
     from_tokens = token_features(saved(document_tokens(df, keys, text, lookup), "document-tokens"), keys)
     rows = base.join(from_tokens, list(keys), "left").fillna(0)
-    word, sent = F.col("t_word"), F.col("t_sent")
-    total = sum((F.col(f"t_n_ent_{e}") for e in ENTITIES), F.lit(0))
-    rows = rows.withColumn("t_n_ent", total)
+    rows = rows.withColumn("t_n_ent", F.expr(" + ".join(f"t_n_ent_{e}" for e in ENTITIES)))
     extra: dict[str, Column] = {}
-    for m in NORMS:
-        extra |= {f"a_{m}_pw": safe_ratio(F.col(f"t_{m}"), word), f"a_{m}_ps": safe_ratio(F.col(f"t_{m}"), sent)}
-    for e in ["", *[f"_{e}" for e in ENTITIES]]:
-        extra |= {f"a_n_ent{e}_pw": safe_ratio(F.col(f"t_n_ent{e}"), word), f"a_n_ent{e}_ps": safe_ratio(F.col(f"t_n_ent{e}"), sent)}
+    averaged = {m: f"t_{m}" for m in NORMS} | {t: f"n_{t}" for t in TAGS}
+    averaged |= {f"n_ent{e}": f"t_n_ent{e}" for e in ["", *[f"_{e}" for e in ENTITIES]]}
+    for name, column in averaged.items():
+        extra |= {f"a_{name}_pw": ratio_of(column, "t_word"), f"a_{name}_ps": ratio_of(column, "t_sent")}
     for t in TAGS:
         extra |= tag_variation(t)
-        extra |= {f"a_{t}_pw": safe_ratio(F.col(f"n_{t}"), word), f"a_{t}_ps": safe_ratio(F.col(f"n_{t}"), sent)}
     extra |= type_token_ratios(F.col("__lemmas"), F.col("__tokens"))
     extra |= type_token_ratios(F.col("__types"), F.col("__tokens"), "_no_lem")
     return rows.withColumns(extra).drop("__tokens", "__types", "__lemmas")

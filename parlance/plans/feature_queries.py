@@ -148,7 +148,8 @@ def features_query(name, columns, needs_tokens=True):
     @query(name, with_ctes(*ctes, select=f"SELECT doc_id, {listed} FROM total"))
     def _(spark, sf):
         rows = ft.linguistic_features(docs(spark, sf), KEY, "text", lookup(spark, sf), STOPWORDS)
-        return round_all(rows.select("doc_id", *columns), *to_round)
+        exact = [c for c in columns if c not in to_round]
+        return rows.selectExpr("doc_id", *exact, *[f"floor({c} * 1e6D + 0.5D) / 1e6D AS {c}" for c in to_round])
 
 
 NORM_TOTALS = [f"t_{m}" for m in ft.NORMS]
