@@ -88,6 +88,4 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     Above the bound the frame is returned without a hint and the join shuffles, with adaptive
     execution splitting hot keys. Call it on stored tables, so the check is cheap.
     """
-    if len(df.limit(max_rows + 1).select(F.lit(1)).take(max_rows + 1)) <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

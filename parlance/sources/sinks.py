@@ -127,7 +127,7 @@ def json_records(df: DataFrame) -> DataFrame:
 
 def keyed_json(df: DataFrame, key: str, max_keys: int = 100_000) -> DataFrame:
     """One JSON object ``{key: {other columns}}`` for a report of a bounded number of keys."""
-    if len(df.select(key).take(max_keys + 1)) > max_keys:
+    if df.select(key).limit(max_keys + 1).count() > max_keys:
         raise ValueError(f"a keyed report holds at most {max_keys} keys; write json_records instead")
     rest = [c for c in df.columns if c != key]
     entries = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.struct(*rest).alias("v"))))
