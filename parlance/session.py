@@ -65,10 +65,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Preferred over a checkpoint when the result is joined later, since the file sizes give the
-    optimizer the statistics that decide between a broadcast and a shuffled join.
+    optimizer the statistics that decide between a broadcast and a shuffled join. Zstandard, because each Snappy writer
+    leaves direct buffers behind, and many small tasks then fill the memory beside the heap.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
