@@ -47,17 +47,18 @@ def exact_groups(
         narrow.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1").drop("n"),
         "repeated",
     )
-    texts = saved(keyed.join(repeated, "h").select("h", "id", "norm", "first_id"), "repeated-texts")
+    # A shuffled join at every size: the table of repeated hashes grows with the data.
+    texts = saved(keyed.join(repeated.hint("merge"), "h").select("h", "id", "norm", "first_id"), "repeated-texts")
     representative = (
         texts.filter(F.col("id").eqNullSafe(F.col("first_id"))).groupBy("h").agg(F.min("norm").alias("rep"))
     )
     # Rows whose bytes differ from their group's text although the hash agrees. As good as always none.
-    collided = saved(
+    differing = saved(
         texts.join(representative, "h").filter(F.col("norm") != F.col("rep"))
-        .groupBy("h", "norm").agg(F.lit(1).alias("one"))
-        .select("h", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), F.lit(True).alias("collision")),
+        .select("h", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha")),
         "collisions",
     )
+    collided = differing.distinct().withColumn("collision", F.lit(True))
     member = narrow.join(collided, ["h", "sha"], "left").withColumn(
         "group_key", F.when(F.col("collision"), F.concat("h", "sha")).otherwise(F.col("h"))
     )
@@ -68,7 +69,7 @@ def exact_groups(
         ),
         "groups",
     )
-    return member.join(groups, "group_key").select(
+    return member.join(groups.hint("merge"), "group_key").select(
         F.col("id").alias(id_col),
         F.col("keep.id").alias("keep_id"),
         "group_size",
@@ -93,7 +94,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     sha = F.unhex(F.sha2(lower_ascii(F.col(f"__row.`{text_col}`")).cast("binary"), 256))
-    joined = rows.withColumn("__sha", sha).join(winners, "__sha").filter(
+    joined = rows.withColumn("__sha", sha).join(winners.hint("merge"), "__sha").filter(
         F.col(f"__row.`{id_col}`").eqNullSafe(F.col("__keep_id"))
     )
     # One id with one text may be written several times: the join's order is by digest, so this needs no new sort.
