@@ -21,3 +21,16 @@ def lower_ascii(text: Column) -> Column:
 def crc_remainder(key: str, divisor: int) -> Column:
     """crc32 of a key written as text, modulo ``divisor``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def computed(df: DataFrame, **values: Column) -> DataFrame:
+    """Add columns that are computed once, however often later expressions use them.
+
+    The optimizer copies the expressions of a plain projection into whatever stands above; a one-row generator stops that.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
+def keyed_rows(df: DataFrame, prefix: str, **columns: str) -> DataFrame:
+    """The named columns only, under names of our own, so that other columns of ``df`` cannot clash."""
+    return df.select(*[F.col(f"`{source}`").alias(prefix + name) for name, source in columns.items()])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import exact_dedup
+from parlance.llm import exact_dedup, quality_rules
 from parlance.llm.common import read
 from parlance.llm.registry import ORACLES, QUERIES, query
 
@@ -26,3 +26,74 @@ NORMALISED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcde
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the row with the largest id stays."""
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"), keep="largest").drop("group_key")
+
+
+def _cutoff_rows() -> str:
+    rows = [f"('{rule}', {c})" for rule, grid in quality_rules.CUTOFFS.items() for c in grid]
+    return ", ".join(rows)
+
+
+def _metric_case() -> str:
+    parts = [f"WHEN '{r}' THEN {e.replace(' div ', ' // ')}" for r, e in quality_rules.METRICS.items()]
+    return f"CASE g.rule {' '.join(parts)} END"
+
+
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP3_SQL = f"""
+    WITH split AS (
+        SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+               list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: translate(x, {SPACES}, '') <> '') AS l
+        FROM documents),
+    windows AS (
+        SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split)),
+    repeated AS (
+        SELECT doc_id, count(DISTINCT p) AS n
+        FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p
+              FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM windows) WHERE c > 1)
+        GROUP BY doc_id),
+    counts AS (
+        SELECT doc_id, stratum, len(w) AS n_words, length(translate(text, {SPACES}, '')) AS word_chars,
+               length(text) - length(translate(text, '{quality_rules.SYMBOLS}', '')) AS n_symbols,
+               len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+        FROM split LEFT JOIN repeated USING (doc_id)),
+    based AS (SELECT *, n_words < {quality_rules.MIN_WORDS}
+              OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counts),
+    grid(rule, cutoff) AS (VALUES {_cutoff_rows()}),
+    marked AS (SELECT doc_id, max(quality) AS quality FROM labels
+               WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+    cells AS (
+        SELECT stratum, rule, cutoff, count(*) FILTER (quality = 1) AS good,
+               count(*) FILTER (quality = 1 AND {_metric_case()} > cutoff) AS good_rejected,
+               count(*) FILTER (quality = 0 AND {_metric_case()} > cutoff) AS bad_rejected
+        FROM based JOIN marked USING (doc_id), grid g WHERE NOT base_failed GROUP BY stratum, rule, cutoff),
+    tested AS (
+        SELECT *, CASE WHEN good_rejected > 0.02 * good THEN 1.0 ELSE list_sum(list_transform(range(0, good_rejected + 1),
+            lambda j: exp(lgamma(good + 1) - lgamma(j + 1) - lgamma(good - j + 1)
+                          + j * ln(0.02) + (good - j) * ln(0.98)))) END AS tail
+        FROM cells WHERE good > 0),
+    useful AS (
+        SELECT * FROM tested WHERE tail <= 0.05 / ({quality_rules.N_CUTOFFS} * (SELECT count(DISTINCT stratum) FROM cells))
+        AND bad_rejected > 0 AND bad_rejected >= 9 * good_rejected),
+    chosen AS (
+        SELECT stratum, rule, cutoff FROM useful
+        QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad_rejected - good_rejected DESC, cutoff DESC) = 1),
+    failed AS (SELECT DISTINCT b.doc_id FROM based b JOIN chosen g USING (stratum)
+               WHERE n_words > 0 AND {_metric_case()} > g.cutoff)
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+           CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+           CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+           NOT base_failed AND NOT EXISTS (SELECT 1 FROM failed f WHERE f.doc_id = b.doc_id) AS kept
+    FROM based b
+    """
+
+
+@query("op3_quality_rules", OP3_SQL)
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the certified rules of each language over every document."""
+    verdict = quality_rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return verdict.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
