@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import byte_bpe, exact_dedup, quality_rules
+from parlance.llm import byte_bpe, exact_dedup, perspectives, quality_rules
 from parlance.llm.common import read
 from parlance.llm.registry import ORACLES, QUERIES, query
 
@@ -112,3 +112,34 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+OP8_SQL = f"""
+    WITH named AS (
+        SELECT conv_id, turn, CASE WHEN coalesce(role, 'unknown') = '' THEN 'unnamed' ELSE coalesce(role, 'unknown') END AS speaker,
+               coalesce(text, '') AS text FROM conversations),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, text) - 1 AS position FROM named),
+    people AS (SELECT DISTINCT conv_id, speaker AS assistant FROM named WHERE speaker <> 'system'),
+    rendered AS (
+        SELECT p.conv_id, assistant, position, turn, speaker, text,
+               CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = assistant THEN 'assistant' ELSE 'user' END AS role_as
+        FROM placed p JOIN people q ON p.conv_id IS NOT DISTINCT FROM q.conv_id),
+    pieces AS (
+        SELECT *, '{perspectives.START}' || role_as || CASE WHEN role_as = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS opening
+        FROM rendered),
+    sized AS (
+        SELECT *, opening || text || '{perspectives.END}' || chr(10) AS piece FROM pieces),
+    starts AS (
+        SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY conv_id, assistant ORDER BY position) - length(piece) AS BIGINT) AS char_start
+        FROM sized)
+    SELECT conv_id, assistant, position, turn, speaker, role_as, piece, char_start,
+           CASE WHEN role_as = 'assistant' THEN char_start + length(opening) END AS loss_start,
+           CASE WHEN role_as = 'assistant' THEN char_start + length(piece) - 1 END AS loss_end
+    FROM starts
+    """
+
+
+@query("op8_perspective_rotation", OP8_SQL)
+def op8_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the view of each of its participants, turn by turn."""
+    return perspectives.rotate(read(spark, sf_dir, "conversations"))
