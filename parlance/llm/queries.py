@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import byte_bpe, exact_dedup, perspectives, quality_rules
+from parlance.llm import byte_bpe, exact_dedup, language_id, perspectives, quality_rules
 from parlance.llm.common import read
+from parlance.llm.ngrams import held_out
 from parlance.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -143,3 +144,12 @@ OP8_SQL = f"""
 def op8_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation from the view of each of its participants, turn by turn."""
     return perspectives.rotate(read(spark, sf_dir, "conversations"))
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the documents that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.train(docs, ~held_out("doc_id", 5, 0))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "ambiguous")
