@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import byte_bpe, exact_dedup, language_id, perspectives, quality_rules
+from parlance.llm import byte_bpe, exact_dedup, language_id, perspectives, pu_quality, quality_rules
 from parlance.llm.common import read
 from parlance.llm.ngrams import held_out
 from parlance.llm.registry import ORACLES, QUERIES, query
@@ -153,3 +153,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs, ~held_out("doc_id", 5, 0))
     found = language_id.identify(docs, model)
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query("op6_pu_quality")
+def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from good and unlabelled documents that are not held out."""
+    docs, out = read(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    labels = read(spark, sf_dir, "labels").filter(~out)
+    model = pu_quality.train(docs, labels, ~out)
+    scored = pu_quality.score(docs, model)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
