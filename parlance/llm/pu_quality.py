@@ -27,16 +27,16 @@ SHAPE = 12
 
 @dataclass
 class PuModel:
-    """A one-layer network on standardised features; ``prior`` is the estimated share of good text."""
+    """Small networks on standardised features; ``prior`` is the estimated share of good text."""
 
     mean: np.ndarray
     scale: np.ndarray
-    w1: np.ndarray
-    w2: np.ndarray
+    networks: list[tuple[np.ndarray, np.ndarray]]
     prior: float
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return forward(np.clip((x - self.mean) / self.scale, -8, 8), self.w1, self.w2)[1]
+        z = np.clip((x - self.mean) / self.scale, -8, 8)
+        return np.mean([forward(z, *network)[1] for network in self.networks], axis=0)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -40, 40)))
@@ -88,9 +88,9 @@ def sigmoid(v: np.ndarray) -> np.ndarray:
 
 
 def fit_network(
-    pos: np.ndarray, unl: np.ndarray, prior: float | None, hidden: int = 24, rounds: int = 400, seed: int = 5, l2: float = 1e-3
+    pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 24, rounds: int = 400, seed: int = 5, l2: float = 1e-3
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Minimise the non-negative risk for ``prior``; without a prior, tell positives from unlabelled by plain logistic loss."""
+    """Minimise the non-negative risk for ``prior`` with Adam on mini-batches."""
     rng, d = np.random.default_rng(seed), pos.shape[1]
     w = [rng.normal(0, 1 / np.sqrt(d), (d + 1, hidden)).astype(np.float32), np.zeros(hidden + 1, np.float32)]
     w[1][:-1] = rng.normal(0, 1 / np.sqrt(hidden), hidden)
@@ -101,13 +101,10 @@ def fit_network(
         z = np.vstack([p, u])
         h, f = forward(z, *w)
         fp, fu = f[: len(p)], f[len(p) :]
-        if prior is None:
-            g = np.concatenate([-sigmoid(-fp) / len(p), sigmoid(fu) / len(u)]) / 2
-        else:
-            negative = softplus(fu).mean() - prior * softplus(fp).mean()
-            g_negative = np.concatenate([-prior * sigmoid(fp) / len(p), sigmoid(fu) / len(u)])
-            g_positive = np.concatenate([-prior * sigmoid(-fp) / len(p), np.zeros(len(u))])
-            g = g_positive + g_negative if negative >= 0 else -g_negative
+        negative = softplus(fu).mean() - prior * softplus(fp).mean()
+        g_negative = np.concatenate([-prior * sigmoid(fp) / len(p), sigmoid(fu) / len(u)])
+        g_positive = np.concatenate([-prior * sigmoid(-fp) / len(p), np.zeros(len(u))])
+        g = g_positive + g_negative if negative >= 0 else -g_negative
         back = (g[:, None] * w[1][None, :-1]) * (1 - h * h)
         grads = [
             np.vstack([z.T @ back, back.sum(0)[None]]) + l2 * w[0],
@@ -131,16 +128,26 @@ def best_bin_prior(pos: np.ndarray, unl: np.ndarray, error: float = 0.1) -> floa
     return float(np.clip(q_unl[best] / q_pos[best], 0.02, 0.98))
 
 
-def fit(pos: np.ndarray, unl: np.ndarray) -> PuModel:
-    """Prior on one half of the samples against the other, then the risk on all."""
-    mean = unl.mean(0)
-    scale = np.maximum(unl.std(0), 1e-3)
-    zp, zu = np.clip((pos - mean) / scale, -8, 8), np.clip((unl - mean) / scale, -8, 8)
-    prior = 0.5
-    if len(zp) > 3 and len(zu) > 3:
-        first = fit_network(zp[::2], zu[::2], None)
-        prior = best_bin_prior(forward(zp[1::2], *first)[1], forward(zu[1::2], *first)[1])
-    return PuModel(mean, scale, *fit_network(zp, zu, prior), prior)
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, rounds: int = 4, start: float = 0.7) -> float:
+    """Fit with the prior so far on one half of the samples, estimate it anew from the scores of the other half, and so on.
+
+    A contaminated top bin can only raise the ratio, so the smallest estimate is taken.
+    """
+    if len(pos) < 4 or len(unl) < 4:
+        return 0.5
+    priors = [start]
+    for k in range(rounds):
+        network = fit_network(pos[::2], unl[::2], priors[-1], seed=k)
+        priors.append(best_bin_prior(forward(pos[1::2], *network)[1], forward(unl[1::2], *network)[1]))
+    return min(priors[1:])
+
+
+def fit(pos: np.ndarray, unl: np.ndarray, members: int = 3) -> PuModel:
+    """Prior first, then a few networks on all samples, whose logits are averaged."""
+    mean, scale = unl.mean(0), np.maximum(unl.std(0), 1e-3)
+    pos, unl = np.clip((pos - mean) / scale, -8, 8), np.clip((unl - mean) / scale, -8, 8)
+    prior = estimate_prior(pos, unl)
+    return PuModel(mean, scale, [fit_network(pos, unl, prior, seed=10 + k) for k in range(members)], prior)
 
 
 def train(
