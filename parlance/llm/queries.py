@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import byte_bpe, exact_dedup, language_id, perspectives, pu_quality, quality_rules
+from parlance.llm import byte_bpe, exact_dedup, jaccard_forest, language_id, perspectives, pu_quality, quality_rules
 from parlance.llm.common import read
 from parlance.llm.ngrams import held_out
 from parlance.llm.registry import ORACLES, QUERIES, query
@@ -163,3 +163,9 @@ def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pu_quality.train(docs, labels, ~out)
     scored = pu_quality.score(docs, model)
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op2_ngram_jaccard_join")
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document and the number of its verified links."""
+    return jaccard_forest.near_duplicates(read(spark, sf_dir, "documents"))[0]
