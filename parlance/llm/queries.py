@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import byte_bpe, exact_dedup, jaccard_forest, language_id, perspectives, pu_quality, quality_rules
+from parlance.llm import byte_bpe, exact_dedup, jaccard_forest, language_id, packing, perspectives, pu_quality, quality_rules
 from parlance.llm.common import read
 from parlance.llm.ngrams import held_out
 from parlance.llm.registry import ORACLES, QUERIES, query
@@ -169,3 +169,15 @@ def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document and the number of its verified links."""
     return jaccard_forest.near_duplicates(read(spark, sf_dir, "documents"))[0]
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """Documents as pieces of at most 4096 tokens, packed; the ids themselves are left out."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(packing.tokenise(docs, path, end_id=2, max_tokens=4096, keep_ids=False))
+
+
+@query("op4_vector_packing")
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of 4096."""
+    return pack_documents(read(spark, sf_dir, "documents"))
