@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import byte_bpe, exact_dedup, jaccard_forest, language_id, packing, perspectives, pu_quality, quality_rules
+from parlance.llm import byte_bpe, chaining, exact_dedup, jaccard_forest, language_id, packing, perspectives, pu_quality, quality_rules
 from parlance.llm.common import read
 from parlance.llm.ngrams import held_out
 from parlance.llm.registry import ORACLES, QUERIES, query
@@ -181,3 +181,9 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of 4096."""
     return pack_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op7_collinear_chaining")
+def op7_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has, too."""
+    return chaining.repeated_passages(read(spark, sf_dir, "documents"))
