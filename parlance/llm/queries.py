@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import byte_bpe, chaining, exact_dedup, jaccard_forest, language_id, packing, perspectives, pu_quality, quality_rules
+from parlance.llm import byte_bpe, chaining, exact_dedup, jaccard_forest, language_id, packing, perspectives, pu_quality, quality_rules, warc_bundles
 from parlance.llm.common import read
 from parlance.llm.ngrams import held_out
 from parlance.llm.registry import ORACLES, QUERIES, query
@@ -187,3 +187,22 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document has, too."""
     return chaining.repeated_passages(read(spark, sf_dir, "documents"))
+
+
+OP5_SQL = """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+    d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS payload_digest FROM p),
+    m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM d)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest,
+           CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+    FROM m
+    """
+
+
+@query("op5_warc_bundles", OP5_SQL)
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to seekable bundles and read back from them."""
+    bundles, _ = warc_bundles.write_bundles(warc_bundles.record_types(read(spark, sf_dir, "pages")))
+    records = warc_bundles.read_bundles(bundles, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
