@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +49,27 @@ def shared_dir(spark: SparkSession) -> str:
     return created
 
 
+#: Scratch paths that this process has handed out and not released yet, oldest first.
+scratch_paths: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, unique to this call."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, unique to this call and noted for ``release``."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    scratch_paths.append(path)
+    return path
+
+
+def release(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
+    """Delete stored intermediate tables: the given ones, or all that this process has made.
+
+    Call it when the results that build on them have been read or written.
+    """
+    for path in list(scratch_paths if paths is None else paths):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in scratch_paths:
+            scratch_paths.remove(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
