@@ -196,3 +196,13 @@ def near_duplicates(
         "id", F.col("id").alias("class_id"), F.col("id").alias("copy_of"), F.lit(0).cast("long").alias("n_links")
     )
     return found.union(blank).withColumnRenamed("id", id_col), links
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
+    """``docs`` as they are with the smallest id of every near-duplicate class; blank texts and null ids stay."""
+    membership, _ = near_duplicates(docs, id_col, text_col, **options)
+    dropped = saved(
+        membership.filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__dropped")).distinct(), "dropped"
+    )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return rows.join(dropped.hint("merge"), F.col(f"__row.`{id_col}`") == F.col("__dropped"), "left_anti").select("__row.*")

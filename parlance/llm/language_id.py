@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.llm.ngrams import hashed_counts, hellinger, sampled, texts_of
 
@@ -133,6 +134,8 @@ def train(
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.binary())], ["u", "lang", "x"])
 
     table = chosen.mapInArrow(batches, "u double, lang string, x binary").toArrow().sort_by([("u", "ascending"), ("lang", "ascending")])
+    if not len(table):
+        return None
     x = np.stack([np.frombuffer(v.as_py(), np.float16) for v in table["x"]]).astype(np.float32)
     labels = np.array([languages.index(v) for v in table["lang"].to_pylist()])
     return fit_codes(x, labels, languages)
@@ -144,22 +147,13 @@ def identify(docs: DataFrame, model: CodeModel | None, id_col: str = "doc_id", t
     Null text and text without a letter is ``und`` with score 0, as is everything without a model. With one language that
     language is certain. Equal distances go to the language that sorts first. Repeated rows get equal results, other columns are not read.
     """
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(text.rlike(r"\p{L}"), text).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _lettered(F.col(text_col)).alias("text"))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for low in range(0, len(part), 256):
                 piece = part.slice(low, 256)
-                named = piece.column(1).is_valid().to_numpy(zero_copy_only=False)
-                lang, score = np.full(len(piece), UNDETERMINED, object), np.zeros(len(piece))
-                if model is not None and named.any():
-                    if len(model.languages) == 1:
-                        best, p = np.zeros(len(piece), int), np.ones(len(piece))
-                    else:
-                        best, p = model.predict(vectors(piece.column(1)))
-                    lang = np.where(named, np.array(model.languages, object)[best], UNDETERMINED)
-                    score = np.where(named, np.clip(p, 0, 1), 0.0)
+                lang, score = _decide(piece.column(1), model)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(score < AMBIGUOUS_BELOW)],
                     ["doc_id", "lang_pred", "score", "ambiguous"],
@@ -167,3 +161,41 @@ def identify(docs: DataFrame, model: CodeModel | None, id_col: str = "doc_id", t
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(batches, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+
+
+def _lettered(text: Column) -> Column:
+    """Lower-cased text, or null if it has no letter."""
+    text = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(text.rlike(r"\p{L}"), text)
+
+
+def _decide(texts: pa.Array, model: CodeModel | None) -> tuple[np.ndarray, np.ndarray]:
+    named = texts.is_valid().to_numpy(zero_copy_only=False)
+    lang, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+    if model is not None and named.any():
+        if len(model.languages) == 1:
+            best, p = np.zeros(len(texts), int), np.ones(len(texts))
+        else:
+            best, p = model.predict(vectors(texts))
+        lang = np.where(named, np.array(model.languages, object)[best], UNDETERMINED)
+        score = np.where(named, np.clip(p, 0, 1), 0.0)
+    return lang, score
+
+
+def keep_identified(docs: DataFrame, model: CodeModel | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` as they are whose language is recognised and not ambiguous; without a model every row with a letter.
+
+    Rows travel through the batches whole, so nothing is joined back.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _lettered(F.col(f"`{text_col}`")).alias("text"))
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for low in range(0, len(part), 256):
+                piece = part.slice(low, 256)
+                keep = piece.column(1).is_valid()
+                if model is not None:
+                    keep = pa.array(_decide(piece.column(1), model)[1] >= AMBIGUOUS_BELOW)
+                yield pa.RecordBatch.from_arrays([piece.column(0).filter(keep)], ["row"])
+
+    return packed.mapInArrow(batches, T.StructType([packed.schema["row"]])).select("row.*")
