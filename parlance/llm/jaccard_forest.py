@@ -172,8 +172,8 @@ def near_duplicates(
             )
         pairs = saved(candidates(placed, level, depth, trees).join(links.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
         wanted = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-        sets = saved(shingle_sets(known, wanted, size), "shingle-sets")
-        sets = sets.dropDuplicates(["id"])
+        # Made distinct before it is stored: an aggregation right below a join keeps its skewed keys from being split.
+        sets = saved(shingle_sets(known, wanted, size).dropDuplicates(["id"]), "shingle-sets")
         found = saved(verified(pairs, sets, threshold), "links")
         if found.isEmpty():
             if level == depths[-1]:

@@ -326,7 +326,7 @@ def test_binomial_tail(spark):
 
 def test_counts_against_plain_python(spark):
     rng = random.Random(4)
-    rows = [(i, "\n".join(" ".join(rng.choice(["a", "b", "c#", "dé", "$x"]) for _ in range(rng.randrange(0, 9))) for _ in range(rng.randrange(1, 9))), "en") for i in range(60)]
+    rows = [(100 + i, "\n".join(" ".join(rng.choice(["a", "b", "c#", "dé", "$x"]) for _ in range(rng.randrange(0, 9))) for _ in range(rng.randrange(1, 9))), "en") for i in range(60)]
     for r in quality_rules.text_counts(frame(spark, rows + EDGES[:4])).collect():
         text = dict((i, t) for i, t, _ in rows + EDGES[:4])[r["doc_id"]] or ""
         words = text.split()
