@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, Tokenizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +20,16 @@ from parlance.session import saved
 from parlance.sources import sinks
 
 FEATURES, LABEL, PREDICTION, WEIGHT = "features", "label", "prediction", "weight"
+#: Spark's own limit.
 MAX_TREE_DEPTH = 30
 
 
+def _depth(max_depth: int) -> int:
+    if max_depth > MAX_TREE_DEPTH:
+        raise ValueError(f"Spark trees are at most {MAX_TREE_DEPTH} deep, not {max_depth}")
+    return max_depth
+
+
 def logistic_regression(rows: int, C: float = 1.0, max_iter: int = 1000, balanced: bool = False) -> Estimator:
     """Multinomial logistic regression with an L2 penalty of strength ``1 / C`` over the summed loss.
 
@@ -37,13 +44,12 @@ def logistic_regression(rows: int, C: float = 1.0, max_iter: int = 1000, balance
 
 
 def decision_tree(
-    rows: int, criterion: str = "gini", max_depth: int = 10, min_samples_split: int = 20, balanced: bool = False
+    rows: int, criterion: str = "gini", max_depth: int = 10, min_instances_per_node: int = 10, balanced: bool = False
 ) -> Estimator:
-    """A decision tree; depth is clamped to Spark's 30, and a node that must hold a number of rows to
-    be split is approximated by half of it in each child."""
+    """A decision tree that splits a node only where each child keeps ``min_instances_per_node`` rows."""
     model = DecisionTreeClassifier(
         featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, impurity=criterion,
-        maxDepth=min(max_depth, MAX_TREE_DEPTH), minInstancesPerNode=max(min_samples_split // 2, 1), seed=42,
+        maxDepth=_depth(max_depth), minInstancesPerNode=min_instances_per_node, seed=42,
     )
     return model.setWeightCol(WEIGHT) if balanced else model
 
@@ -51,7 +57,7 @@ def decision_tree(
 def random_forest(rows: int, trees: int = 100, max_depth: int = 10, balanced: bool = False) -> Estimator:
     model = RandomForestClassifier(
         featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, numTrees=trees,
-        maxDepth=min(max_depth, MAX_TREE_DEPTH), seed=42,
+        maxDepth=_depth(max_depth), seed=42,
     )
     return model.setWeightCol(WEIGHT) if balanced else model
 
@@ -84,35 +90,38 @@ def expand_grid(grid: dict[str, Sequence]) -> list[dict]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
-def _prepared(df: DataFrame, grid: Sequence[dict]) -> DataFrame:
-    return evaluation.add_class_weights(df, LABEL, WEIGHT) if any(s.get("balanced") for s in grid) else df
+def _fit(rows: DataFrame, name: str, setting: dict) -> Transformer:
+    """Fit one setting; the penalty and the class weights come from exactly the rows it is fitted on."""
+    weighted = evaluation.add_class_weights(rows, LABEL, WEIGHT) if setting.get("balanced") else rows
+    return get_classifier(name)(rows.count(), **setting).fit(weighted)
 
 
 def search(
-    df: DataFrame, name: str, grid: dict[str, Sequence], folds: int = 3, fold_col: str | None = None, parallelism: int = 4
+    df: DataFrame, name: str, grid: dict[str, Sequence], keys: Sequence[str], folds: int = 3, fold_col: str | None = None,
+    parallelism: int = 4,
 ):
     """Best settings by cross-validated accuracy: ``(fitted best model, settings, accuracy)``.
 
-    Every setting becomes one parameter map of a single ``CrossValidator``, which fits
-    ``parallelism`` of them at a time over the cached rows and refits only the best.
-    With ``fold_col`` the folds are those of the column instead of random ones.
+    Folds are stratified by label in the order of a hash of ``keys``, or those of ``fold_col``; either way they do not
+    depend on partitioning. ``parallelism`` fits run at a time, over rows stored in the shared folder. Of equally good
+    settings the first is taken, and only the best is fitted again on all rows.
     """
     settings = expand_grid(grid)
-    rows = _prepared(df, settings).cache()
-    try:
-        n = rows.count()
-        make = get_classifier(name)
-        base = make(n)
-        maps = [{base.getParam(p.name): v for p, v in make(n, **s).extractParamMap().items()} for s in settings]
-        fitted = CrossValidator(
-            estimator=base, estimatorParamMaps=maps,
-            evaluator=MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol=PREDICTION, metricName="accuracy"),
-            numFolds=folds, parallelism=parallelism, seed=42, **({"foldCol": fold_col} if fold_col else {}),
-        ).fit(rows)
-        best = max(range(len(settings)), key=lambda i: fitted.avgMetrics[i])
-        return fitted.bestModel, settings[best], fitted.avgMetrics[best]
-    finally:
-        rows.unpersist()
+    folded = df if fold_col else evaluation.stratified_folds(df, LABEL, folds, keys)
+    rows, column = saved(folded, "search-rows"), fold_col or "fold"
+    evaluator = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol=PREDICTION, metricName="accuracy")
+
+    def accuracy(task: tuple[int, int]) -> float:
+        setting, fold = settings[task[0]], task[1]
+        model = _fit(rows.filter(F.col(column) != fold), name, setting)
+        return evaluator.evaluate(model.transform(rows.filter(F.col(column) == fold)))
+
+    tasks = list(product(range(len(settings)), range(folds)))
+    with ThreadPool(parallelism) as pool:
+        found = pool.map(accuracy, tasks)
+    means = [sum(found[i * folds : (i + 1) * folds]) / folds for i in range(len(settings))]
+    best = max(range(len(settings)), key=lambda i: means[i])
+    return _fit(rows, name, settings[best]), settings[best], means[best]
 
 
 def nested_cross_validation(
@@ -123,7 +132,7 @@ def nested_cross_validation(
     results = None
     for fold in range(outer):
         train, test = folded.filter(F.col("fold") != fold).drop("fold"), folded.filter(F.col("fold") == fold)
-        model, setting, _ = search(train, name, grid, inner)
+        model, setting, _ = search(train, name, grid, keys, inner)
         measured = evaluation.quality(model.transform(test), LABEL, PREDICTION).select(
             F.lit(name).alias("model"), F.lit(fold + 1).alias("fold"), F.lit(str(setting)).alias("best_params"),
             "accuracy", "f1_macro", "f1_weighted",
@@ -137,9 +146,11 @@ def summarise_folds(folds: DataFrame) -> DataFrame:
     return folds.groupBy("model").agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("deviation"))
 
 
-def fit_final(df: DataFrame, name: str, grid: dict[str, Sequence], path: str, folds: int = 5) -> PipelineModel:
+def fit_final(
+    df: DataFrame, name: str, grid: dict[str, Sequence], path: str, keys: Sequence[str], folds: int = 5
+) -> PipelineModel:
     """Search on all rows, save the refitted best model and return it."""
-    model, _, _ = search(df, name, grid, folds)
+    model, _, _ = search(df, name, grid, keys, folds)
     fitted = PipelineModel([model])
     fitted.write().overwrite().save(path)
     return fitted
@@ -165,7 +176,7 @@ def cascade(
     second_labels: Sequence[str], outs: tuple[str, str],
 ) -> DataFrame:
     """Level one for every row, level two only for the rows level one puts into ``gate``."""
-    level_one = predict(df, first, first_labels, outs[0])
+    level_one = saved(predict(df, first, first_labels, outs[0]), "level-one")  # scored once, read twice
     inside = predict(level_one.filter(F.col(outs[0]) == gate), second, second_labels, outs[1])
     outside = level_one.filter(F.col(outs[0]) != gate).withColumn(outs[1], F.lit(None).cast("string"))
     return inside.unionByName(outside)

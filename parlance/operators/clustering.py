@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.operators.ranking import cumulative
 from parlance.session import checkpointed, saved
 from parlance.sources import sinks
 
@@ -43,7 +44,9 @@ def document_vectors(
         done = spark.read.parquet(cache).filter(F.col("model") == model_name)
         wanted = wanted.join(done.select("text_hash"), "text_hash", "left_anti")
     encode(wanted).select(F.lit(model_name).alias("model"), "text_hash", "vector").write.mode("append").parquet(cache)
+    # Two runs at a time may both have added a text.
     vectors = spark.read.parquet(cache).filter(F.col("model") == model_name).select("text_hash", "vector")
+    vectors = vectors.dropDuplicates(["text_hash"])
     return keyed.join(vectors, "text_hash", "left").drop("text_hash")
 
 
@@ -153,12 +156,14 @@ def density_clusters(
     return result.withColumn(out, F.coalesce("label", F.lit(OUTLIER))).drop("__cell", "label")
 
 
-def number_topics(df: DataFrame, cluster: str, out: str = "topic", max_topics: int = 100_000) -> DataFrame:
-    """Replace cluster names by 0, 1, … from the largest cluster down; noise stays -1."""
-    from pyspark.sql import Window
+def number_topics(df: DataFrame, cluster: str, out: str = "topic") -> DataFrame:
+    """Replace cluster names by 0, 1, … from the largest cluster down; noise stays -1.
 
-    sizes = saved(df.filter(F.col(cluster) != OUTLIER).groupBy(cluster).agg(F.count(F.lit(1)).alias("n")), "topic-sizes")
-    if sizes.count() > max_topics:
-        raise ValueError(f"more than {max_topics} clusters are no topics; raise the minimum size")
-    numbers = sizes.select(cluster, (F.row_number().over(Window.orderBy(F.desc("n"), cluster)) - 1).alias(out))
+    The clusters are numbered slice by slice, however many there are.
+    """
+    sizes = df.filter(F.col(cluster) != OUTLIER).groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
+    ordered = sizes.select(F.struct((-F.col("n")).alias("less"), F.col(cluster).alias("name")).alias("place"), F.lit(1).alias("one"))
+    numbers = cumulative(ordered, [], "place", ["one"]).select(
+        F.col("place.name").alias(cluster), (F.col("cum_one") - 1).alias(out)
+    )
     return df.join(numbers, cluster, "left").withColumn(out, F.coalesce(out, F.lit(OUTLIER)).cast("int"))

@@ -4,24 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.numbers import fixed_text, safe_ratio, student_t_two_sided
 from parlance.operators.joins import model_pairs
-from parlance.operators.ranking import hash_order, hash_row_number
+from parlance.operators.ranking import cumulative, hash_order, hash_row_number
 from parlance.session import saved
 
 
-MAX_LABELS = 100_000
-
-
 def encode_labels(df: DataFrame, label: str, out: str = "label_index") -> DataFrame:
-    """Number the labels alphabetically from 0. Only the distinct labels, a bounded set, are ordered."""
-    distinct = saved(df.filter(F.col(label).isNotNull()).select(label).distinct(), "distinct-labels")
-    if distinct.count() > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    codes = distinct.withColumn(out, (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
+    """Number the labels alphabetically from 0. The distinct labels are numbered slice by slice, however many there are."""
+    distinct = df.filter(F.col(label).isNotNull()).select(label).distinct().withColumn("one", F.lit(1))
+    codes = cumulative(distinct, [], label, ["one"]).select(label, (F.col("cum_one") - 1).cast("int").alias(out))
     return df.join(saved(codes, "labels"), label, "left")
 
 

@@ -77,10 +77,15 @@ def row_type(topic: Column, is_political: Column) -> Column:
 
 
 def merge_key(value: Column) -> Column:
-    """A join key as trimmed text in which ``30``, ``30.0`` and ``' 30 '`` are the same."""
+    """A join key as trimmed text in which ``30``, ``+30``, ``30.0``, ``030`` and ``' 30 '`` are the same.
+
+    Numbers are compared by their digits, never as floating point, so long ids stay apart, as do ``30`` and ``30d``.
+    """
     plain = F.trim(value.cast("string"))
-    number = plain.try_cast("double")
-    return F.when(number.isNotNull(), number.cast("string")).otherwise(plain)
+    digits = F.regexp_replace(plain, r"^([+-]?)0*(\d)", "$1$2")
+    digits = F.regexp_replace(F.regexp_replace(digits, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    number = F.regexp_replace(F.regexp_replace(digits, r"^\+", ""), "^-0$", "0")
+    return F.when(plain.rlike(r"^[+-]?\d+(\.\d*)?$"), number).otherwise(plain)
 
 
 def explode_reactions(df: DataFrame, column: str = "reaction_json") -> DataFrame:

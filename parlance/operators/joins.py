@@ -36,14 +36,23 @@ def join_labels(text: DataFrame, labels: DataFrame, keys: Sequence[str]) -> Data
 
 
 def join_on_shared(left: DataFrame, right: DataFrame, candidates: Sequence[str], how: str = "left") -> DataFrame:
-    """Join on those of the candidate columns that both frames have, compared as merge keys."""
+    """Join on those of the candidate columns that both frames have, compared as merge keys; the left columns stay as they are."""
     from parlance.operators.filters import merge_key
 
     shared = [c for c in candidates if c in left.columns and c in right.columns]
     if not shared:
         raise ValueError(f"no shared column among {list(candidates)}")
-    as_key = {c: merge_key(F.col(c)) for c in shared}
-    return left.withColumns(as_key).join(right.withColumns(as_key), shared, how)
+
+    def key(df: DataFrame, column: str) -> Column:
+        value = F.col(column)
+        if df.schema[column].dataType.typeName() in ("double", "float"):  # written out without an exponent
+            whole = (value == F.floor(value)) & (F.abs(value) < 1e18)
+            value = F.when(whole, value.cast("decimal(19,0)").cast("string")).otherwise(value.cast("string"))
+        return merge_key(value)
+
+    keys = {c: f"__key_{c}" for c in shared}
+    keyed = right.withColumns({k: key(right, c) for c, k in keys.items()}).drop(*shared)
+    return left.withColumns({k: key(left, c) for c, k in keys.items()}).join(keyed, list(keys.values()), how).drop(*keys.values())
 
 
 def outer_counts(total: DataFrame, kept: DataFrame, period: str) -> DataFrame:

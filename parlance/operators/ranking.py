@@ -113,8 +113,10 @@ def exact_quantiles(
         fraction = position - F.floor(position)
         low, high = F.col(f"__lo_{name}").cast("double"), F.col(f"__hi_{name}").cast("double")
         results.append((low + (high - low) * fraction).alias(name))
-    picked = running.groupBy(*keys, "__total").agg(*picks)
-    return picked.select(*group, F.col("__total").alias("n"), *results)
+    picked = running.groupBy(*keys, "__total").agg(*picks).select(*keys, F.col("__total").alias("__found"), *results)
+    # Groups without a value are reported with n = 0 and null quantiles.
+    every = source.groupBy(*keys).agg(F.count(value).alias("n"))
+    return join_null_safe(every, saved(picked, "quantiles"), keys, "left").select(*group, "n", *probabilities)
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:

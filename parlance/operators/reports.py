@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.numbers import fixed_text
 from parlance.functions.text import week_ending_sunday
-from parlance.operators.ranking import exact_quantiles, join_null_safe
+from parlance.operators.ranking import exact_quantiles, first_per_key, join_null_safe
 from parlance.session import saved
 
 
@@ -157,7 +157,8 @@ def weekly_pivot(df: DataFrame, moment: str, label: str, values: Sequence[str])
 
 def weekly_mean(df: DataFrame, moment: str, label: str, score: str, keys: Sequence[str]) -> DataFrame:
     """Weekly mean score per label over rows unique on time, label and key; incomplete rows drop out."""
-    unique = df.dropna(subset=[moment, score, label]).dropDuplicates([moment, label, *keys])
+    complete = df.dropna(subset=[moment, score, label]).select(*dict.fromkeys([moment, label, *keys]), score)
+    unique = first_per_key(complete, list(dict.fromkeys([moment, label, *keys])), [score])  # of copies the lowest score counts
     return unique.groupBy(week_ending_sunday(F.col(moment)).alias("week"), label).agg(F.avg(score).alias("mean_score"))
 
 
@@ -189,7 +190,7 @@ def box_statistics(df: DataFrame, label: str, value: str) -> DataFrame:
     quartiles = saved(exact_quantiles(df, [label], value, QUARTILES), "quartiles")
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    marked = join_null_safe(df.select(label, value).filter(F.col(value).isNotNull()), quartiles, [label])
+    marked = join_null_safe(df.select(label, value), quartiles, [label])
     return marked.groupBy(label, "n", *QUARTILES).agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
         F.max(F.when(inside, F.col(value))).alias("whisker_high"),

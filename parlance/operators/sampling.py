@@ -59,9 +59,14 @@ def exact_fraction(df: DataFrame, fraction: float, keys: Sequence[str], seed: in
     return _take_by_hash(df, [], None, quota, keys, seed, digits)
 
 
-def approximate_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """Spark's own Bernoulli sample, cheaper and not of exact size."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def approximate_fraction(df: DataFrame, fraction: float, keys: Sequence[str], seed: int = 42) -> DataFrame:
+    """The rows whose hash of seed and keys lies below ``fraction``: one pass, no shuffle, not of exact size.
+
+    The same rows whatever the partitioning.
+    """
+    if fraction >= 1:
+        return df
+    return df.filter(F.substring(hash_order(seed, *keys), 1, 8) < f"{int(max(fraction, 0.0) * 2**32):08x}")
 
 
 def random_rows(df: DataFrame, k: int, keys: Sequence[str], seed: int = 42) -> DataFrame:

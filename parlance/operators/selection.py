@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations_with_replacement
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -83,12 +84,33 @@ def best_splits(ranking: DataFrame) -> DataFrame:
 
 
 def spearman_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Rank correlation of every two features (ties share their average rank), as a long table."""
+    """Rank correlation of every two features (ties share their average rank), as a long table.
+
+    Nulls are left out pair by pair: a row counts for every pair of which it has both values. Features that are null in
+    the same rows form a class, and one pass ranks the features of two classes together.
+    """
     features = list(features)
-    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in features]).dropna()
-    vectors = VectorAssembler(inputCols=features, outputCol="v").transform(numeric).select("v")
-    matrix = Correlation.corr(vectors, "v", "spearman").first()[0].toArray()
-    rows = [(a, b, float(matrix[i][j])) for i, a in enumerate(features) for j, b in enumerate(features)]
+    numeric = saved(
+        df.select(F.monotonically_increasing_id().alias("__row"), *[F.col(c).cast("double").alias(c) for c in features]), "features"
+    )
+    marks = numeric.agg(
+        *[
+            F.struct(F.count_if(F.col(c).isNull()), F.expr(f"bit_xor(CASE WHEN `{c}` IS NULL THEN xxhash64(__row) ELSE 0 END)")).alias(c)
+            for c in features
+        ]
+    ).first()
+    classes: dict[tuple, list[str]] = {}
+    for c in features:
+        classes.setdefault(tuple(marks[c]), []).append(c)
+    rows = []
+    for one, other in combinations_with_replacement(list(classes.values()), 2):
+        both = one if one is other else [*one, *other]
+        vectors = VectorAssembler(inputCols=both, outputCol="v").transform(numeric.select(*both).dropna()).select("v")
+        matrix = Correlation.corr(vectors, "v", "spearman").first()[0].toArray()
+        for i, a in enumerate(both):
+            for j, b in enumerate(both):
+                if (a in one and b in other) or (a in other and b in one):
+                    rows.append((a, b, float(matrix[i][j])))
     return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, correlation double")
 
 

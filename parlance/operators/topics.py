@@ -256,7 +256,7 @@ def grid_search(
         try:
             outcome = {**settings, **run(settings), "error": None}
         except Exception as problem:  # a combination may fail without ending the search
-            outcome = {**settings, "error": str(problem)[:500]}
+            outcome = {**settings, "error": str(problem)}
         values = [tuple(outcome.get(f.name) for f in schema.fields)]
         sinks.append_log(spark.createDataFrame(values, schema), path, schema)
     return sinks.read_log(spark, path, schema)

@@ -42,7 +42,7 @@ def _(spark, sf):
 @query("h06_decision_tree")
 def _(spark, sf):
     rows = vectors(spark, sf)
-    return _scored(rows, classify.decision_tree(rows.count(), "entropy", 5, 20).fit(rows))
+    return _scored(rows, classify.decision_tree(rows.count(), "entropy", 5, 10).fit(rows))
 
 
 @query("h07_random_forest")
@@ -54,7 +54,7 @@ def _(spark, sf):
 @query("h10_search")
 def _(spark, sf):
     rows = evaluation.stratified_folds(vectors(spark, sf), "label", 3, ["id"])
-    model, settings, accuracy = classify.search(rows, "lr", {"C": [0.1, 10.0], "max_iter": [15]}, 3, "fold")
+    model, settings, accuracy = classify.search(rows, "lr", {"C": [0.1, 10.0], "max_iter": [15]}, ["id"], 3, "fold")
     return _scored(rows, model).select(
         F.lit(str(settings)).alias("settings"), F.lit(round(accuracy, 6)).alias("cv_accuracy"), "accuracy"
     )
@@ -69,7 +69,7 @@ def _(spark, sf):
 @query("h19_final_model")
 def _(spark, sf):
     rows = vectors(spark, sf)
-    model = classify.fit_final(rows, "lr", {"C": [1.0], "max_iter": [15]}, scratch_path(spark, "model"), 2)
+    model = classify.fit_final(rows, "lr", {"C": [1.0], "max_iter": [15]}, scratch_path(spark, "model"), ["id"], 2)
     return _scored(rows, model)
 
 

@@ -12,7 +12,6 @@ from parlance.plans.inputs import MESSAGES, macro_map, messages, post_topics, r6
 from parlance.plans.registry import query
 from parlance.plans.text_queries import STOPWORDS
 from parlance.schemas import TOXICITY_SCORES
-from parlance.session import spread
 
 KEY = ["doc_id"]
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
@@ -26,11 +25,11 @@ def round_all(df, *columns):
 
 
 def docs(spark, sf):
-    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def items(spark, sf):
-    return spread(table(spark, sf, "lineitem").select(*FEATURES, "l_returnflag"), "l_extendedprice")
+    return table(spark, sf, "lineitem").select(*FEATURES, "l_returnflag")
 
 
 def lookup(spark, sf):

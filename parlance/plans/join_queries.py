@@ -77,8 +77,7 @@ LOG_METRICS = """log_metrics AS (SELECT embedding_model, n_neighbors::DOUBLE AS
     with_ctes(
         GRID_RESULTS,
         LOG_METRICS,
-        select="""SELECT g.embedding_model, CAST(g.n_neighbors::DOUBLE AS VARCHAR) AS n_neighbors,
-        CAST(g.min_cluster_size::DOUBLE AS VARCHAR) AS min_cluster_size, g.n_topics,
+        select="""SELECT g.embedding_model, g.n_neighbors, g.min_cluster_size, g.n_topics,
         coalesce(l.n_outliers, -1) AS n_outliers FROM grid_results g LEFT JOIN log_metrics l
         ON g.embedding_model = l.embedding_model AND g.n_neighbors = l.n_neighbors
         AND g.min_cluster_size = l.min_cluster_size""",

@@ -140,12 +140,12 @@ def _(spark, sf):
 @query(
     "e09_counts_in_order",
     """SELECT n.n_name AS label, coalesce(c.n, -1) AS n FROM nation n LEFT JOIN (
-    SELECT concat('NATION_', s_nationkey) AS label, count(*) AS n FROM supplier WHERE s_acctbal > 8000 GROUP BY 1) c
+    SELECT concat('NATION_', s_nationkey) AS label, count(*) AS n FROM supplier GROUP BY 1) c
     ON n.n_name = c.label""",
 )
 def _(spark, sf):
     order = table(spark, sf, "nation").select(F.col("n_name").alias("label"))
-    rows = table(spark, sf, "supplier").filter("s_acctbal > 8000").select(
+    rows = table(spark, sf, "supplier").select(
         F.concat(F.lit("NATION_"), F.col("s_nationkey")).alias("label")
     )
     return reports.counts_in_order(rows, "label", order).fillna(-1, ["n"])

@@ -75,9 +75,16 @@ def _(spark, sf):
     return sampling.exact_fraction(messages(spark, sf), 0.1, KEY).select(*KEY)
 
 
-@query("f02_approximate_fraction")
+@query(
+    "f02_approximate_fraction",
+    with_ctes(
+        MESSAGES,
+        select=f"""SELECT id, group_name FROM messages
+        WHERE substr(md5(concat_ws('_', '42', id, group_name)), 1, 8) < '{int(0.1 * 2**32):08x}'""",
+    ),
+)
 def _(spark, sf):
-    return sampling.approximate_fraction(messages(spark, sf), 0.1).select(*KEY)
+    return sampling.approximate_fraction(messages(spark, sf), 0.1, KEY).select(*KEY)
 
 
 @query(

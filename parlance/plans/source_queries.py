@@ -208,6 +208,30 @@ def _(spark, sf):
     return sinks.period_ledger(spark.read.parquet(path))
 
 
+@query(
+    "a12_isolated_periods",
+    with_ctes(
+        MESSAGES, DATED,
+        select="""SELECT year, month, CASE WHEN month = 9 THEN 'failed' ELSE 'done' END AS status,
+        CASE WHEN month = 9 THEN 0 ELSE count(*) END AS "rows" FROM dated WHERE month > 6 GROUP BY 1, 2""",
+    ),
+)
+def _(spark, sf):
+    """Months one by one behind a finished half year; one of them fails, the others are written."""
+    path = scratch_path(spark, "isolated")
+    rows = dated_messages(spark, sf)
+    sinks.overwrite_periods(rows.filter("month <= 6"), path)
+
+    def transform(part):
+        return part.filter(F.when(F.col("month") == 9, F.raise_error(F.lit("bad month"))).otherwise(F.lit(True)))
+
+    ledger = sinks.run_by_period(rows, path, transform)
+    written = sinks.period_ledger(spark.read.parquet(path)).select("year", "month", "rows")
+    return ledger.join(written, ["year", "month"], "left").select(
+        "year", "month", "status", F.coalesce("rows", F.lit(0)).alias("rows")
+    )
+
+
 @query("a13_compact", with_ctes(POSTS, select="SELECT id, group_name, 2 AS files FROM posts"))
 def _(spark, sf):
     path = scratch_path(spark, "compact")

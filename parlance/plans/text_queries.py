@@ -228,8 +228,8 @@ def _(spark, sf):
 @query(
     "b15_merge_keys",
     """SELECT l.p_size_key AS size_key, count(*) AS pairs FROM
-    (SELECT CAST(CAST(p_size AS DOUBLE) AS VARCHAR) AS p_size_key FROM part) l
-    JOIN (SELECT CAST(CAST(n_nationkey AS DOUBLE) AS VARCHAR) AS n_key FROM nation) r
+    (SELECT CAST(p_size AS VARCHAR) AS p_size_key FROM part) l
+    JOIN (SELECT CAST(n_nationkey AS VARCHAR) AS n_key FROM nation) r
     ON l.p_size_key = r.n_key GROUP BY ALL""",
 )
 def _(spark, sf):

@@ -9,7 +9,7 @@ from parlance.functions.numbers import rounded
 from parlance.operators import clustering, coherence, joins, topics
 from parlance.operators.lemmas import normalise
 from parlance.plans.inputs import MACRO_MAP, POST_TOPICS, macro_map, post_topics, r6, table, with_ctes
-from parlance.plans.registry import query
+from parlance.plans.registry import ORACLES, query
 from parlance.plans.text_queries import STOPWORDS, normal_ctes
 from parlance.session import saved, scratch_path
 from parlance.sources import sinks
@@ -64,9 +64,13 @@ def _(spark, sf):
     return reduced.select("id", *[rounded(F.abs(F.col("reduced")[i]), 4).alias(f"c{i}") for i in range(3)])
 
 
-CELLS = """pts AS (SELECT vec_id AS id, CAST(floor(embedding[1]::DOUBLE / 0.1::DOUBLE) AS BIGINT) AS a,
-  CAST(floor(embedding[2]::DOUBLE / 0.1::DOUBLE) AS BIGINT) AS b,
-  CAST(floor(embedding[3]::DOUBLE / 0.1::DOUBLE) AS BIGINT) AS c FROM embeddings),
+def signed_sum_sql(run: int) -> str:
+    """The cell of the sum of all coordinates, runs of ``run`` of them counting up and down in turn."""
+    signed = f"list_transform(embedding, lambda x, i: x::DOUBLE * CASE WHEN (i - 1) // {run} % 2 = 0 THEN 1 ELSE -1 END)"
+    return f"CAST(floor(list_reduce({signed}, lambda p, q: p + q) / 8::DOUBLE / 0.1::DOUBLE) AS BIGINT)"
+
+
+CELLS = f"""pts AS (SELECT vec_id AS id, {signed_sum_sql(1)} AS a, {signed_sum_sql(2)} AS b, {signed_sum_sql(4)} AS c FROM embeddings),
   cells AS (SELECT a, b, c, count(*) AS n, min(id) AS first FROM pts GROUP BY ALL),
   sides AS (SELECT x.a, x.b, x.c, x.first, y.n AS ny, y.first AS fy FROM cells x JOIN cells y
     ON abs(x.a - y.a) + abs(x.b - y.b) + abs(x.c - y.c) = 1),
@@ -85,8 +89,15 @@ CELLS = """pts AS (SELECT vec_id AS id, CAST(floor(embedding[1]::DOUBLE / 0.1::D
 
 
 def clustered(spark, sf):
-    """Density clusters over the first three coordinates of the vectors."""
-    points = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 3).alias("v"))
+    """Density clusters over three signed sums of all coordinates of the vectors."""
+
+    def signed_sum(run):
+        signed = f"transform(embedding, (x, i) -> CAST(x AS DOUBLE) * IF(i div {run} % 2 = 0, 1, -1))"
+        return F.expr(f"aggregate({signed}, CAST(0 AS DOUBLE), (p, q) -> p + q) / 8")
+
+    points = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.array(signed_sum(1), signed_sum(2), signed_sum(4)).alias("v")
+    )
     return clustering.density_clusters(points, "id", "v", 0.1, 20, 8)
 
 
@@ -154,13 +165,6 @@ def _(spark, sf):
     return words.select("topic", "rank", "term", rounded(F.col("weight")).alias("weight"))
 
 
-@query("g06_silhouette")
-def _(spark, sf):
-    rows = vector_topics(spark, sf)
-    value = topics.silhouette(rows, "embedding")
-    return rows.agg(F.count("*").alias("documents")).withColumn("silhouette", F.lit(value))
-
-
 @query(
     "g06_silhouette_exact",
     with_ctes(
@@ -179,6 +183,12 @@ def _(spark, sf):
     )
 
 
+@query("g06_silhouette", ORACLES["g06_silhouette_exact"])
+def _(spark, sf):
+    rows = vector_topics(spark, sf)
+    return spark.range(1).select(rounded(F.lit(topics.silhouette(rows, "embedding"))).alias("silhouette"))
+
+
 @query(
     "g07_diversity",
     with_ctes(

@@ -92,16 +92,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistribute a table that is stored in fewer pieces than there are cores.
-
-    A file of one row group is one task, which leaves the other cores idle while its text is parsed.
-    A table of many files already fills the cluster and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Hint a broadcast only when ``df`` is proven to hold at most ``max_rows`` rows.
 

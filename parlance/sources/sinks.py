@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.operators.ranking import join_null_safe
 from parlance.session import saved
 
 PERIOD = ["year", "month"]
@@ -31,9 +32,11 @@ def append_by_period(df: DataFrame, path: str) -> None:
 
 
 def overwrite_periods(df: DataFrame, path: str) -> None:
-    """Replace exactly the (year, month) partitions that occur in ``df``; safe to run again."""
-    known = df.dropna(subset=PERIOD)
-    known.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PERIOD).parquet(path)
+    """Replace exactly the (year, month) partitions that occur in ``df``; safe to run again.
+
+    Rows without a year or month have a partition of their own.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PERIOD).parquet(path)
 
 
 def write_compact(df: DataFrame, path: str, files: int = 1) -> None:
@@ -53,9 +56,9 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def pending_periods(df: DataFrame, done: DataFrame) -> DataFrame:
-    """Rows whose (year, month) is not yet in ``done``; rows without a period drop out."""
+    """Rows whose (year, month) is not yet in ``done``; a missing year or month is a period like any other."""
     finished = saved(done.select(*PERIOD).distinct(), "finished")
-    return df.dropna(subset=PERIOD).join(finished, PERIOD, "left_anti")
+    return join_null_safe(df, finished, PERIOD, "left_anti")
 
 
 def pending_rows(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -70,10 +73,40 @@ def resume_by_period(df: DataFrame, path: str, transform: Callable[[DataFrame],
 
 
 def period_ledger(df: DataFrame) -> DataFrame:
-    """One status row per period of a written table, the per-month log of a run."""
+    """One row per period of a written table."""
     return df.groupBy(*PERIOD).agg(F.count(F.lit(1)).alias("rows")).withColumn("status", F.lit("done"))
 
 
+PERIOD_LEDGER = T.StructType(
+    [
+        T.StructField("year", T.IntegerType()),
+        T.StructField("month", T.IntegerType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
+
+
+def run_by_period(df: DataFrame, path: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Process the periods that the sink lacks one by one, so that a bad one does not stop the others.
+
+    The driver sees the distinct periods only. Returns a ledger with ``done`` or ``failed`` and the error of every period
+    of this run; a failed period is tried again by the next run.
+    """
+    spark = df.sparkSession
+    todo = pending_periods(df, spark.read.parquet(path)) if table_exists(spark, path) else df
+    todo = saved(todo, "pending")
+    log = []
+    for year, month in sorted(map(tuple, todo.select(*PERIOD).distinct().collect()), key=lambda p: [v if v is not None else -1 for v in p]):
+        part = todo.filter(F.col("year").eqNullSafe(F.lit(year)) & F.col("month").eqNullSafe(F.lit(month)))
+        try:
+            overwrite_periods(transform(part), path)
+            log.append((year, month, "done", None))
+        except Exception as problem:  # one bad period must not end the run
+            log.append((year, month, "failed", str(problem)))
+    return spark.createDataFrame(log, PERIOD_LEDGER)
+
+
 def convert_in_batches(
     spark: SparkSession,
     paths: Sequence[str],
@@ -95,7 +128,7 @@ def convert_in_batches(
             read(spark, batch).write.mode("append" if started else "overwrite").parquet(out)
             started, status, error = True, "done", None
         except Exception as problem:  # one bad batch must not end the run
-            status, error = "failed", str(problem)[:500]
+            status, error = "failed", str(problem)
         log.append((number, len(batch), status, error, datetime.now(timezone.utc).isoformat()))
     spark.createDataFrame(log, LEDGER).write.mode("append").parquet(ledger)
     return spark.read.schema(LEDGER).parquet(ledger)

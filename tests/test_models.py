@@ -69,8 +69,9 @@ def test_unknown_classifier_names_the_choices():
         classify.get_classifier("svm")
 
 
-def test_tree_depth_is_clamped():
-    assert classify.decision_tree(10, max_depth=50).getMaxDepth() == 30
+def test_tree_depth_beyond_spark_is_an_error():
+    with pytest.raises(ValueError):
+        classify.decision_tree(10, max_depth=50)
 
 
 def test_score_batches_sees_bounded_batches(spark):
@@ -212,3 +213,52 @@ def test_lookup_by_text_covers_all_copies(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None)], "id long, text string")
     unique = spark.createDataFrame([("x", 7)], "text string, topic int")
     assert {r["id"]: r["topic"] for r in joins.lookup_by_text(rows, unique, "text", "topic").collect()} == {1: 7, 2: 7, 3: None, 4: None}
+
+
+def test_rank_correlation_leaves_nulls_out_pair_by_pair(spark):
+    rows = [(1.0, 2.0, None), (2.0, 1.0, 1.0), (3.0, 4.0, 2.0), (4.0, 3.0, None), (5.0, 5.0, 3.0)]
+    long = selection.spearman_matrix(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()
+    found = {(r["feature_a"], r["feature_b"]): r["correlation"] for r in long}
+    assert len(found) == len(long) == 9
+    assert found["a", "b"] == pytest.approx(0.8) and found["a", "c"] == pytest.approx(1.0) and found["b", "c"] == pytest.approx(1.0)
+
+
+def test_search_does_not_depend_on_partitions(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = [(i, float(i % 3 == 0), [float(i % 3), float((i * 7) % 5)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, label double, v array<double>").withColumn("features", array_to_vector("v"))
+    grid = {"C": [0.01, 1.0], "max_iter": [20], "balanced": [True]}
+    found = [classify.search(df.repartition(n), "lr", grid, ["id"], 3)[1:] for n in (2, 8)]
+    assert found[0][0] == found[1][0] and found[0][1] == pytest.approx(found[1][1])
+
+
+def test_labels_and_clusters_are_numbered_in_order(spark):
+    rows = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("a",)], "y string")
+    assert {r["y"]: r["label_index"] for r in evaluation.encode_labels(rows, "y").collect()} == {"a": 0, "b": 1, "c": 2, None: None}
+
+
+def test_groups_of_nulls_are_reported(spark):
+    from parlance.operators import reports
+
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], "g string, v double")
+    box = {r["g"]: r for r in reports.box_statistics(rows, "g", "v").collect()}
+    assert (box["a"]["n"], box["a"]["median"], box["b"]["n"], box["b"]["median"], box["b"]["outliers"]) == (2, 2.0, 0, None, 0)
+    assert {r["g"]: r["count"] for r in reports.describe(rows, "v", ["g"]).collect()} == {"a": 2, "b": 0}
+    assert reports.median_of(rows.filter("g = 'b'"), "v").first()["n"] == 0
+
+
+def test_lowest_of_repeated_scores_counts(spark):
+    from parlance.operators import reports
+
+    rows = spark.createDataFrame([("2024-01-01", "x", 1, 5.0), ("2024-01-01", "x", 1, 3.0)], "t string, l string, k long, s double")
+    for order in ("s", "-s"):
+        dated = rows.orderBy(F.expr(order)).withColumn("t", F.to_timestamp("t"))
+        assert reports.weekly_mean(dated, "t", "l", "s", ["k"]).first()["mean_score"] == 3.0
+
+
+def test_hash_sample_does_not_depend_on_partitions(spark):
+    rows = spark.range(2000)
+    taken = [sorted(r["id"] for r in sampling.approximate_fraction(rows.repartition(n), 0.1, ["id"]).collect()) for n in (2, 7)]
+    assert taken[0] == taken[1] and 120 < len(taken[0]) < 280
+    assert sampling.approximate_fraction(rows, 1.0, ["id"]).count() == 2000 and sampling.approximate_fraction(rows, 0.0, ["id"]).count() == 0

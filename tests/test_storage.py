@@ -143,3 +143,34 @@ def test_late_rows_are_dropped_and_counts_are_updated(spark, tmp_path):
     run()
     got = [(str(r["window_start"].date()), r["rows"]) for r in streams.read_updated(spark, sink, ["window_start", "g"]).collect()]
     assert got == [("2024-01-10", 2)]
+
+
+def test_rows_without_a_period_are_kept_and_resumed(spark, tmp_path):
+    path = str(tmp_path / "periods")
+    rows = spark.createDataFrame([(1, 2024, 1), (2, None, None), (3, 2024, None)], "id long, year int, month int")
+    sinks.overwrite_periods(rows.filter("id <> 3"), path)
+    assert [r["id"] for r in sinks.pending_periods(rows, spark.read.parquet(path)).collect()] == [3]
+    sinks.resume_by_period(rows, path, lambda todo: todo)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_a_bad_period_does_not_stop_the_others(spark, tmp_path):
+    path = str(tmp_path / "isolated")
+    rows = spark.createDataFrame([(1, 2024, 1), (2, 2024, 2), (3, None, None)], "id long, year int, month int")
+    bad = lambda part: part.filter(F.when(F.col("month") == 1, F.raise_error(F.lit("x" * 900))).otherwise(F.lit(True)))
+    ledger = {r["month"]: r for r in sinks.run_by_period(rows, path, bad).collect()}
+    assert {m: r["status"] for m, r in ledger.items()} == {1: "failed", 2: "done", None: "done"} and "x" * 900 in ledger[1]["error"]
+    again = sinks.run_by_period(rows, path, lambda part: part).collect()
+    assert [(r["month"], r["status"]) for r in again] == [(1, "done")] and spark.read.parquet(path).count() == 3
+
+
+def test_release_leaves_nothing_in_the_shared_folder(spark):
+    import os
+
+    from parlance.session import release, saved, scratch_paths
+
+    saved(spark.range(3), "probe")
+    made = [p for p in scratch_paths if "/probe-" in p]
+    assert made and os.path.exists(made[-1])
+    release(spark, made)
+    assert not any(os.path.exists(p) or p in scratch_paths for p in made)

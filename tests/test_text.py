@@ -90,4 +90,21 @@ def test_stopword_file(spark, tmp_path):
 
 def test_merge_keys_unify_numbers(spark):
     rows = spark.createDataFrame([(" 30 ",), ("30.0",), ("cosine ",)], "k string")
-    assert [r["k"] for r in rows.select(filters.merge_key(F.col("k")).alias("k")).collect()] == ["30.0", "30.0", "cosine"]
+    assert [r["k"] for r in rows.select(filters.merge_key(F.col("k")).alias("k")).collect()] == ["30", "30", "cosine"]
+
+
+def test_merge_keys_keep_long_ids_and_lookalikes_apart(spark):
+    values = ["9007199254740993", "9007199254740992", "30d", "30", "1e3", "1000", "+30", "030.00", "0.50", "-0", "0", "-7.10", "1.", None]
+    rows = spark.createDataFrame([(v,) for v in values], "k string")
+    keys = [r["k"] for r in rows.select(filters.merge_key(F.col("k")).alias("k")).collect()]
+    assert keys == ["9007199254740993", "9007199254740992", "30d", "30", "1e3", "1000", "30", "30", "0.5", "0", "0", "-7.1", "1", None]
+
+
+def test_join_on_shared_keeps_the_left_types(spark):
+    from parlance.operators import joins
+
+    left = spark.createDataFrame([(10_000_000_000, "a"), (3, "b")], "k long, l string")
+    right = spark.createDataFrame([(1e10, 1), (3.5, 2)], "k double, r int")
+    joined = joins.join_on_shared(left, right, ["k", "missing"])
+    assert joined.dtypes == [("k", "bigint"), ("l", "string"), ("r", "int")]
+    assert sorted(map(tuple, joined.collect()), key=repr) == [(10_000_000_000, "a", 1), (3, "b", None)]
