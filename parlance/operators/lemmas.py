@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +47,31 @@ def normalise(
     dictionary: DataFrame | None = None,
     stopwords: Sequence[str] = (),
     out: str = "clean_text",
+    max_dictionary_bytes: int = 128 << 20,
 ) -> DataFrame:
     """Add the normalised text; with a dictionary the tokens are lemmatised on the way.
 
-    ``keys`` must identify a row when a dictionary is given.
+    A dictionary of at most ``max_dictionary_bytes`` is shipped to the tasks, which look the words up where the text is
+    read. A larger one is joined to the tokens, with the same result; ``keys`` must then identify a row.
     """
     if dictionary is None:
         return with_computed(df, out, tx.normalised_text(F.col(text), stopwords))
     words = tx.normalised_tokens(F.col(text), stopwords)
+    known = saved(distinct_lemmas(dictionary), "lemmas")
+    size = known.agg(F.sum(F.octet_length("token") + F.octet_length("lemma"))).first()[0] or 0
+    if size <= max_dictionary_bytes:
+        return df.drop(out).select("*", F.inline(F.array(F.struct(_lemma_writer(known)(words).alias(out)))))
     lemmas = lemmatise(explode_tokens(df, keys, words), dictionary)
     joined = df.join(collect_text(lemmas, keys, "lemma", out), list(keys), "left")
     return joined.withColumn(out, F.coalesce(out, F.lit("")))
+
+
+def _lemma_writer(known: DataFrame):
+    shared = known.sparkSession.sparkContext.broadcast({r["token"]: r["lemma"] for r in known.toLocalIterator()})
+
+    @F.pandas_udf("string")
+    def write(texts: pd.Series) -> pd.Series:
+        lemma = shared.value.get
+        return pd.Series(["" if words is None else " ".join([lemma(w) or w for w in words]) for words in texts], dtype=object)
+
+    return write

@@ -76,7 +76,8 @@ def random_rows(df: DataFrame, k: int, keys: Sequence[str], seed: int = 42) -> D
 
 def drop_duplicate_texts(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """One row per text, the one with the smallest key."""
-    return first_per_key(df, [text], keys)
+    hashed = df.withColumn("__sha", F.sha2(F.col(text).cast("binary"), 256))  # sorted by digest, not by text
+    return first_per_key(hashed, ["__sha"], keys).drop("__sha")
 
 
 def drop_duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
@@ -14,7 +16,7 @@ from parlance.functions import text as tx
 from parlance.functions.numbers import safe_ratio
 from parlance.operators.classify import fit_pipeline, text_features
 from parlance.schemas import TOXICITY_SCORES
-from parlance.session import broadcast_if_small, saved
+from parlance.session import saved
 
 
 def is_blank(text: Column) -> Column:
@@ -48,16 +50,39 @@ def score(df: DataFrame, text: str, features: PipelineModel, models: dict) -> Da
 
 
 def lexicon_scores(
-    df: DataFrame, keys: Sequence[str], text: str, lexicon: DataFrame, scores: Sequence[str] = TOXICITY_SCORES
+    df: DataFrame, keys: Sequence[str], text: str, lexicon: DataFrame, scores: Sequence[str] = TOXICITY_SCORES,
+    max_lexicon_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Sum of the weights of a text's words over its number of words, per score; 0 without words.
 
-    ``lexicon`` has ``token`` (unique) and one weight column per score.
+    ``lexicon`` has ``token`` (unique) and one weight column per score. A lexicon of at most ``max_lexicon_bytes`` is shipped to
+    the tasks and texts are scored where they are read; a larger one is joined to the words, with the same result.
     """
+    stored = saved(lexicon.select("token", *[F.col(s).cast("double").alias(s) for s in scores]), "lexicon")
+    size = stored.agg(F.sum(F.octet_length("token") + 8 * len(scores))).first()[0] or 0
+    if size <= max_lexicon_bytes:
+        found = _lexicon_scorer(stored, scores)(tx.terms(F.col(text)))
+        return df.select("*", F.inline(F.array(found)))
     words = df.select(*keys, F.explode(tx.terms(F.col(text))).alias("token"))
-    joined = words.join(broadcast_if_small(saved(lexicon, "lexicon"), 500_000), "token", "left")
-    sums = joined.groupBy(*keys).agg(
+    sums = words.join(stored, "token", "left").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), *[F.coalesce(F.sum(s), F.lit(0.0)).alias(f"__{s}") for s in scores]
     )
     scored = sums.select(*keys, *[safe_ratio(F.col(f"__{s}"), F.col("__n")).alias(s) for s in scores])
     return df.join(scored, list(keys), "left").fillna(0.0, list(scores))
+
+
+def _lexicon_scorer(stored: DataFrame, scores: Sequence[str]):
+    weights = {r["token"]: tuple(r[s] or 0.0 for s in scores) for r in stored.toLocalIterator()}
+    shared = stored.sparkSession.sparkContext.broadcast(weights)
+
+    @F.pandas_udf(", ".join(f"{s} double" for s in scores))
+    def score(texts: pd.Series) -> pd.DataFrame:
+        known, rows = shared.value, np.zeros((len(texts), len(scores)))
+        for i, words in enumerate(texts):
+            if words is not None and len(words):
+                hits = [known[w] for w in words if w in known]
+                if hits:
+                    rows[i] = np.sum(hits, axis=0) / len(words)
+        return pd.DataFrame(rows, columns=list(scores))
+
+    return score

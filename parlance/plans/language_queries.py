@@ -74,3 +74,14 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return language.language_share(table(spark, sf, "documents"), "lang", "en").withColumn("percent", rounded(F.col("percent")))
+
+
+@query(
+    "c16_sample_rows",
+    """SELECT doc_id, lang, inside FROM (SELECT doc_id, lang, coalesce(lang = 'en', false) AS inside,
+    row_number() OVER (PARTITION BY coalesce(lang = 'en', false) ORDER BY md5('42_' || doc_id), doc_id) AS rn FROM documents)
+    WHERE rn <= 10""",
+)
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    return language.sample_in_and_outside(docs, "lang", "en", ["doc_id"], 10)

@@ -108,3 +108,35 @@ def test_join_on_shared_keeps_the_left_types(spark):
     joined = joins.join_on_shared(left, right, ["k", "missing"])
     assert joined.dtypes == [("k", "bigint"), ("l", "string"), ("r", "int")]
     assert sorted(map(tuple, joined.collect()), key=repr) == [(10_000_000_000, "a", 1), (3, "b", None)]
+
+
+EDGE_TEXTS = [(1, "The cats were running, running!"), (2, None), (3, ""), (4, "ab"), (5, "Der Hund läuft 😀😀 sehr"), (6, "cats cats dogs")]
+
+
+def same_rows(one, other):
+    plain = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*sorted(df.columns)).collect()), key=repr)
+    return plain(one) == plain(other)
+
+
+def test_small_and_large_lookups_agree(spark):
+    from parlance.operators import toxicity
+
+    docs = spark.createDataFrame(EDGE_TEXTS, "id long, text string")
+    labelled = docs.withColumn("lang", F.when(F.col("id") == 5, "de").otherwise("en"))
+    profiles = language.fit_profiles(labelled, "text", "lang")
+    found = [language.detect_language(docs, profiles, "text", ["id"], max_profile_bytes=n) for n in (0, 1 << 20)]
+    assert same_rows(*found) and {r["id"]: r["language"] for r in found[1].collect()}[2] == "unknown"
+
+    lexicon = spark.createDataFrame([("cats", 0.5, None), ("hund", 0.1, 1.0)], "token string, a double, b double")
+    scored = [toxicity.lexicon_scores(docs, ["id"], "text", lexicon, ["a", "b"], max_lexicon_bytes=n) for n in (0, 1 << 20)]
+    assert same_rows(*scored)
+
+    dictionary = spark.createDataFrame([("cats", "cat"), ("cats", "kitten"), ("running", "run")], "token string, lemma string")
+    written = [lemmas.normalise(docs, "text", ["id"], dictionary, ["the"], max_dictionary_bytes=n) for n in (0, 1 << 20)]
+    assert same_rows(*written) and {r["id"]: r["clean_text"] for r in written[1].collect()}[6].startswith("cat cat")
+
+
+def test_rows_in_and_outside_a_language(spark):
+    docs = spark.createDataFrame([(i, "en" if i % 3 else None) for i in range(30)], "id long, lang string")
+    taken = language.sample_in_and_outside(docs, "lang", "en", ["id"], 4).collect()
+    assert sorted(r["inside"] for r in taken) == [False] * 4 + [True] * 4
