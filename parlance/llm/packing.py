@@ -9,7 +9,9 @@ left; when none fits the next sequence opens. Only numbers are shuffled, and gro
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,27 +25,70 @@ from parlance.session import saved
 
 GROUP_PIECES = 4096
 #: A Python worker forgets its encoded words beyond this many, so that its memory stays bounded; results do not change.
-WORKER_WORDS = 1_000_000
-_encoded: dict[int, dict[bytes, bytes]] = {}
+WORKER_WORDS = 400_000
 
+# The bytes that byte-level vocabularies write as themselves, and marks that never join a word before them.
+PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+MARKS = ",.;:!?"
 
-def encode_words(tokenizer: str, digest: int, words: set[bytes]) -> dict[bytes, bytes]:
-    """Ids (little-endian unsigned 32-bit) of words, kept by the worker. The tokenizer treats what white space separates on its own."""
-    known = _encoded.setdefault(digest, {})
-    if len(known) > WORKER_WORDS:
-        known.clear()
-    missing = [w for w in words if w not in known]
-    if missing:
+
+def byte_alphabet() -> dict[int, str]:
+    """The character of every byte in byte-level vocabularies: itself, or the next one from 256 on."""
+    others = [b for b in range(256) if b not in PLAIN_BYTES]
+    return {b: chr(b) for b in PLAIN_BYTES} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class WordEncoder:
+    """Ids (little-endian unsigned 32-bit) of words, kept by a worker. The tokenizer treats what white space separates on its own.
+
+    A word of letters, with at most one mark behind it, is one or two matches of the tokenizer's pattern, so its model is asked directly;
+    any other word goes through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encoder = Tokenizer.from_str(tokenizer)
-        encoder.encode_special_tokens = True  # their strings in a text are ordinary text
-        for low in range(0, len(missing), 20_000):
-            part = missing[low : low + 20_000]
-            for word, found in zip(part, encoder.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-    return known
+        self.tokenizer = Tokenizer.from_str(tokenizer)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.split = self.tokenizer.model.tokenize
+        self.alphabet, self.marks = byte_alphabet(), {m: self._whole(m) for m in MARKS}
+        self.words: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _of_letters(self, letters: str) -> bytes:
+        found = self.letters.get(letters)
+        if found is None:
+            plain = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.alphabet)
+            found = self.letters[letters] = array("I", [t.id for t in self.split(plain)]).tobytes()
+        return found
+
+    def _encode(self, word: bytes) -> bytes:
+        text = word.decode()
+        letters = text if text.isascii() else unicodedata.normalize("NFC", text)
+        mark = letters[-1:] if letters[-1:] in self.marks else ""
+        letters = letters[: len(letters) - len(mark)]
+        # Letter by letter, as the tokenizer does it: a sigma at the end of a word is no exception.
+        letters = letters.lower() if letters.isascii() else "".join(c.lower() for c in letters)
+        if not letters.isalpha():
+            return self._whole(text)
+        return self._of_letters(letters) + self.marks[mark] if mark else self._of_letters(letters)
+
+    def add(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """All that is known, ``words`` included."""
+        if len(self.words) > WORKER_WORDS:
+            self.words.clear()
+        if len(self.letters) > WORKER_WORDS:
+            self.letters.clear()
+        for word in words.difference(self.words):
+            self.words[word] = self._encode(word)
+        return self.words
+
+
+_encoders: dict[int, WordEncoder] = {}
 
 
 def tokenise(
@@ -70,11 +115,15 @@ def tokenise(
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + keep_ids]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if digest not in _encoders:
+            _encoders.clear()
+            _encoders[digest] = WordEncoder(shared.value)
+        encoder = _encoders[digest]
         for part in parts:
             for low in range(0, len(part), 512):
                 piece = part.slice(low, 512)
                 texts = [text.tobytes().split() for text in texts_of(piece.column(1))]
-                ids_of = encode_words(shared.value, digest, set().union(*texts)).__getitem__
+                ids_of = encoder.add(set().union(*texts)).__getitem__
                 row, start, chunks, total = [], [], [], []
                 for i, words in enumerate(texts):
                     ids = b"".join(map(ids_of, words)) + end

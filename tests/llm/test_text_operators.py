@@ -293,6 +293,16 @@ def test_packing_round_trip(spark):
         assert sum(n for _, n in parts) <= 512 and len(parts) <= 4
 
 
+def test_word_encoder_equals_the_tokenizer():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        encoder = packing.WordEncoder(file.read())
+    words = ["Hello,", "it's", "IT'S", "l'été", "été", "e\u0301te\u0301.", "İstanbul", "ΟΔΟΣ", "ΟΔΟΣ,", "ﬁn", "x1y", "a,b", "...", "!!", "don't!", "ß?", "你好!", "ª", "naïve;:", "A\u0308b"]
+    words += ["'s,", "s", ",", "<|endoftext|>", "ab<|endoftext|>", "straße.", "ǅ", "\u0345x", "x\u200b.", "\x1cq"]
+    known = encoder.add({w.encode() for w in words})
+    for word in words:
+        assert list(struct.unpack(f"<{len(known[word.encode()]) // 4}I", known[word.encode()])) == encoder.tokenizer.encode(word, add_special_tokens=False).ids, word
+
+
 def test_packing_keeps_every_limit():
     rng = np.random.default_rng(1)
     demand = np.stack([rng.integers(1, 400, 500), np.ones(500), rng.integers(0, 100, 500)], 1).astype(float)
