@@ -30,7 +30,9 @@ NO_RANK = 2**31 - 1
 RANK_BUCKETS = 16384
 LONGEST_DICTIONARY_WORD = 32
 #: A task forgets its folded words beyond this many, so that its memory stays bounded; results do not change.
-TASK_WORDS = 500_000
+TASK_WORDS = 300_000
+#: Rows of an Arrow batch that are Python objects at a time.
+BATCH_ROWS = 500
 
 Ranks = list[tuple[bytes, int]]
 
@@ -190,8 +192,10 @@ def encode(
             return ids
 
         for part in parts:
-            ids = [b"".join(map(ids_of, find(text))) if text else b"" for text in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for low in range(0, len(part), BATCH_ROWS):
+                piece = part.slice(low, BATCH_ROWS)
+                ids = [b"".join(map(ids_of, find(text))) if text else b"" for text in piece.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -210,8 +214,10 @@ def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:
 
         piece = shared.value.__getitem__
         for part in parts:
-            texts = [b"".join(map(piece, np.frombuffer(ids, "<u4").tolist())) for ids in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+            for low in range(0, len(part), BATCH_ROWS):
+                some = part.slice(low, BATCH_ROWS)
+                texts = [b"".join(map(piece, np.frombuffer(ids, "<u4").tolist())) for ids in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(batches, f"doc_id {kind}, ids binary, decoded binary")
