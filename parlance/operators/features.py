@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
 from parlance.functions.numbers import safe_ratio
+from parlance.operators.filters import with_computed
 from parlance.operators.sampling import random_rows
 from parlance.session import broadcast_if_small, saved
+from parlance.sources import sinks
 
 # The names of the tags, entity types and word norms features are built for.
 TAGS = "adj adp adv aux cconj det intj noun num part pron propn punct sconj sym verb space".split()
@@ -131,9 +133,18 @@ def type_token_ratios(types: Column, total: Column, suffix: str = "") -> dict[st
 
 
 def add_pattern_entities(df: DataFrame, text: str) -> DataFrame:
-    """Entity counts of the types that are recognised by their form."""
-    source = tx.safe_lower(F.col(text))
-    return df.withColumns({f"t_n_ent_{k}": F.regexp_count(source, F.lit(p)) for k, p in ENTITY_PATTERNS.items()})
+    """Entity counts of the types that are recognised by their form.
+
+    A match is blanked out before the next type is looked for, so a date is not three cardinals as well.
+    """
+    rows = with_computed(df, "__rest", tx.safe_lower(F.col(text)))
+    for k, p in ENTITY_PATTERNS.items():
+        columns = [c for c in rows.columns if c != "__rest"]
+        step = F.struct(
+            F.regexp_count("__rest", F.lit(p)).alias(f"t_n_ent_{k}"), F.regexp_replace("__rest", p, " ").alias("__rest")
+        )
+        rows = rows.select(*columns, F.inline(F.array(step)))
+    return rows.drop("__rest")
 
 
 def token_lookup(
@@ -237,6 +248,15 @@ def linguistic_features(
     return rows.withColumns(extra).drop("__tokens", "__types", "__lemmas")
 
 
+def resume_features(
+    df: DataFrame, keys: Sequence[str], text: str, lookup: DataFrame, stopwords: Sequence[str], path: str
+) -> None:
+    """Extract the features of the documents that the table at ``path`` lacks and append them."""
+    spark = df.sparkSession
+    todo = sinks.pending_rows(df, spark.read.parquet(path), keys) if sinks.table_exists(spark, path) else df
+    linguistic_features(todo, keys, text, lookup, stopwords).write.mode("append").parquet(path)
+
+
 def tagged_tokens(df: DataFrame, keys: Sequence[str], text: str, lookup: DataFrame) -> DataFrame:
     """The token table: keys, ``idx``, ``token``, ``tag``, ``lemma``."""
     rows = df.select(*keys, F.posexplode(tokens_of(F.col(text))).alias("idx", "token"))

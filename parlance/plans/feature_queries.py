@@ -10,6 +10,7 @@ from parlance.operators import features as ft
 from parlance.operators import filters, joins, selection, toxicity
 from parlance.plans.inputs import MESSAGES, macro_map, messages, post_topics, r6, table, with_ctes
 from parlance.plans.registry import query
+from parlance.session import scratch_path
 from parlance.plans.text_queries import STOPWORDS
 from parlance.schemas import TOXICITY_SCORES
 
@@ -85,8 +86,21 @@ TOKENS = f"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(tex
     count(*) FILTER (tag NOT IN ('punct', 'sym', 'space')) AS types,
     count(DISTINCT lemma) FILTER (tag NOT IN ('punct', 'sym', 'space')) AS lemmas FROM tagged GROUP BY 1)"""
 
-ALL = f"""pat AS (SELECT doc_id, {", ".join(f"len(regexp_extract_all(lower(coalesce(text, '')), '{p}')) AS t_n_ent_{k}" for k, p in ft.ENTITY_PATTERNS.items())}
-    FROM documents),
+
+
+def entity_steps() -> str:
+    """One step per pattern: count its matches, blank them out."""
+    steps, before = ["pat0 AS (SELECT doc_id, lower(coalesce(text, '')) AS rest FROM documents)"], "pat0"
+    for k, p in ft.ENTITY_PATTERNS.items():
+        steps.append(
+            f"pat_{k} AS (SELECT * EXCLUDE (rest), len(regexp_extract_all(rest, '{p}')) AS t_n_ent_{k}, "
+            f"regexp_replace(rest, '{p}', ' ', 'g') AS rest FROM {before})"
+        )
+        before = f"pat_{k}"
+    return ", ".join(steps) + f", pat AS (SELECT * EXCLUDE (rest) FROM {before})"
+
+
+ALL = f"""{entity_steps()},
   base AS (SELECT c.* EXCLUDE (text), pat.* EXCLUDE (doc_id),
     {", ".join(f"coalesce(f.{c}, 0) AS {c}" for c in [*[f"n_{t}" for t in ft.TAGS], *[f"n_u{t}" for t in ft.TAGS], *[f"t_{m}" for m in ft.NORMS], *[f"t_n_ent_{e}" for e in ft.ENTITIES if e not in ft.ENTITY_PATTERNS], "tokens", "types", "lemmas"])}
     FROM counts c JOIN pat USING (doc_id) LEFT JOIN tfeat f USING (doc_id)),
@@ -191,6 +205,16 @@ features_query(
 features_query("j10_all_features", ft.feature_names())
 
 
+@query("j10_resume_features", with_ctes(COUNTS, select=f"SELECT doc_id, {', '.join(COUNT_COLUMNS)}, 1 AS times FROM counts"))
+def _(spark, sf):
+    """Half of the documents, then all of them: the second run adds the other half."""
+    path, rows, known = scratch_path(spark, "features"), docs(spark, sf), lookup(spark, sf)
+    ft.resume_features(rows.filter("doc_id % 2 = 0"), KEY, "text", known, STOPWORDS, path)
+    ft.resume_features(rows, KEY, "text", known, STOPWORDS, path)
+    found = spark.read.parquet(path).groupBy("doc_id", *COUNT_COLUMNS).agg(F.count("*").cast("int").alias("times"))
+    return found.select("doc_id", *COUNT_COLUMNS, "times")
+
+
 # ---------------------------------------------------------------- feature selection
 
 
@@ -370,7 +394,10 @@ def _(spark, sf):
 # ---------------------------------------------------------------- toxicity
 
 
-@query("i01_fitted_scores")
+@query(
+    "i01_fitted_scores",
+    f"SELECT count(*) AS documents, {', '.join(f'count(*) AS {s}' for s in TOXICITY_SCORES)} FROM documents",
+)
 def _(spark, sf):
     """Six models fitted on the label table, applied to every message."""
     size = F.length("text")

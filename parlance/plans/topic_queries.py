@@ -42,7 +42,10 @@ VECTOR_TOPICS = """vector_topics AS (SELECT vec_id AS id, CAST(embedding AS DOUB
   units AS (SELECT v.id, v.topic, v.d, v.x / n.len AS u, v.x FROM long_v v JOIN norms n USING (id))"""
 
 
-@query("g01_document_vectors")
+@query(
+    "g01_document_vectors",
+    with_ctes(POST_TOPICS, select="SELECT count(*) AS documents, count(*) AS with_vector, 64 AS dimensions FROM post_topics"),
+)
 def _(spark, sf):
     """Encode, then encode again with other rows added: the second run reads the cache."""
     cache = scratch_path(spark, "vector-cache")

@@ -262,3 +262,11 @@ def test_hash_sample_does_not_depend_on_partitions(spark):
     taken = [sorted(r["id"] for r in sampling.approximate_fraction(rows.repartition(n), 0.1, ["id"]).collect()) for n in (2, 7)]
     assert taken[0] == taken[1] and 120 < len(taken[0]) < 280
     assert sampling.approximate_fraction(rows, 1.0, ["id"]).count() == 2000 and sampling.approximate_fraction(rows, 0.0, ["id"]).count() == 0
+
+
+def test_a_date_is_no_cardinal(spark):
+    rows = spark.createDataFrame([(1, "On 2024-01-02 at 10:30 we paid $5.50, 20% of 27 for 3 kg, the 2nd time"), (2, None)], "id long, text string")
+    found = {r["id"]: r.asDict() for r in features.add_pattern_entities(rows, "text").collect()}
+    assert {k[8:]: v for k, v in found[1].items() if k.startswith("t_n_ent_")} == {
+        "date": 1, "time": 1, "percent": 1, "money": 1, "quantity": 1, "ordinal": 1, "cardinal": 1}
+    assert not any(v for k, v in found[2].items() if k.startswith("t_n_ent_"))
