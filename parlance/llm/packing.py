@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from parlance.llm.ngrams import texts_of
 from parlance.session import saved
 
-GROUP_PIECES = 4096
+GROUP_PIECES = 1024
 #: A Python worker forgets its encoded words beyond this many, so that its memory stays bounded; results do not change.
-WORKER_WORDS = 400_000
+WORKER_WORDS = 800_000
 
 # The bytes that byte-level vocabularies write as themselves, and marks that never join a word before them.
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -150,23 +150,25 @@ def pack_group(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.n
 
     Equal scores go to the item that comes first, so the result depends on the order of the rows only.
     """
+    weight = (demand / limits).mean(0) + 1e-12
+    sequence, offset = np.full(len(demand), -1), np.zeros(len(demand), np.int64)
+    items, number = np.arange(len(demand)), 0
     need = demand / limits
-    weight = need.mean(0) + 1e-12
-    sequence, offset = np.full(len(need), -1), np.zeros(len(need), np.int64)
-    open_items, number = np.arange(len(need)), 0
-    while len(open_items):
-        left, filled = np.ones(len(limits)), 0
-        while len(open_items):
-            fits = (need[open_items] <= left + 1e-12).all(1)
-            if not fits.any():
-                break
-            score = np.where(fits, need[open_items] @ (weight * left), -1.0)
+    while len(items):
+        left, filled, taken = np.ones(len(limits)), 0, []
+        while True:
+            score = need @ (weight * left)
+            score[(need > left + 1e-12).any(1)] = -1.0
             best = int(score.argmax())
-            item = open_items[best]
+            if score[best] < 0:
+                break
+            item = items[best]
             sequence[item], offset[item] = number, filled
             filled += int(demand[item, 0])
-            left = left - need[item]
-            open_items = np.delete(open_items, best)
+            left = left - need[best]
+            need[best] = 2.0  # fits nowhere any more
+            taken.append(best)
+        items, need = np.delete(items, taken), np.delete(need, taken, axis=0)
         number += 1
     return sequence, offset
 
