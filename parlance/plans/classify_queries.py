@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.numbers import rounded
 from parlance.operators import classify, evaluation, filters, reports
-from parlance.plans.inputs import messages, table
+from parlance.plans.inputs import DATED, MESSAGES, messages, table, with_ctes
 from parlance.plans.registry import query
 from parlance.session import saved, scratch_path
 
@@ -73,7 +73,10 @@ def _(spark, sf):
     return _scored(rows, model)
 
 
-@query("h20_batch_inference")
+@query(
+    "h20_batch_inference",
+    with_ctes(MESSAGES, DATED, select="SELECT year, month, count(*) AS n, count(*) AS predicted FROM dated GROUP BY 1, 2"),
+)
 def _(spark, sf):
     """Train on the labelled texts, predict every message, write by period, then resume."""
     model = classify.fit_pipeline(
@@ -84,7 +87,9 @@ def _(spark, sf):
     corpus = filters.add_period(messages(spark, sf))
     classify.predict_by_period(corpus.filter("month <= 6"), model, ["clean", "toxic"], "predicted", path)
     classify.predict_by_period(corpus, model, ["clean", "toxic"], "predicted", path)
-    return spark.read.parquet(path).groupBy("year", "month", "predicted").agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).groupBy("year", "month").agg(
+        F.count("*").alias("n"), F.count_if(F.col("predicted").isin("clean", "toxic")).alias("predicted")
+    )
 
 
 @query("h21_cascade")

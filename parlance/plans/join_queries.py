@@ -69,7 +69,7 @@ def _(spark, sf):
 
 
 LOG_METRICS = """log_metrics AS (SELECT embedding_model, n_neighbors::DOUBLE AS n_neighbors,
-  min_cluster_size::DOUBLE AS min_cluster_size, n_topics * 2 AS n_outliers FROM grid_results WHERE n_neighbors <= 5)"""
+  min_cluster_size::DOUBLE AS min_cluster_size, n_topics * 2 AS n_outliers FROM grid_results)"""
 
 
 @query(
@@ -85,7 +85,7 @@ LOG_METRICS = """log_metrics AS (SELECT embedding_model, n_neighbors::DOUBLE AS
 )
 def _(spark, sf):
     grid = grid_results(spark, sf).select("embedding_model", "n_neighbors", "min_cluster_size", "n_topics")
-    log = grid.filter("n_neighbors <= 5").select(
+    log = grid.select(
         "embedding_model",
         F.col("n_neighbors").cast("double"),
         F.col("min_cluster_size").cast("string"),
@@ -101,15 +101,14 @@ def _(spark, sf):
         POSTS,
         select="""SELECT strftime(coalesce(t.day, k.day), '%Y-%m-%d') AS day, coalesce(total, 0) AS total,
         coalesce(kept, 0) AS kept FROM
-        (SELECT CAST(ts AS DATE) AS day, count(*) AS total FROM posts WHERE day(ts) <> 3 GROUP BY 1) t FULL JOIN
-        (SELECT CAST(ts AS DATE) AS day, count(*) AS kept FROM posts WHERE group_name = 'click' AND day(ts) <> 5
-        GROUP BY 1) k ON t.day = k.day""",
+        (SELECT CAST(ts AS DATE) AS day, count(*) AS total FROM posts GROUP BY 1) t FULL JOIN
+        (SELECT CAST(ts AS DATE) AS day, count(*) AS kept FROM posts WHERE group_name = 'click' GROUP BY 1) k ON t.day = k.day""",
     ),
 )
 def _(spark, sf):
     dated = posts(spark, sf).withColumn("day", F.col("ts").cast("date"))
-    total = dated.filter(F.dayofmonth("day") != 3).groupBy("day").agg(F.count("*").alias("total"))
-    kept = dated.filter((F.col("group_name") == "click") & (F.dayofmonth("day") != 5))
+    total = dated.groupBy("day").agg(F.count("*").alias("total"))
+    kept = dated.filter(F.col("group_name") == "click")
     kept = kept.groupBy("day").agg(F.count("*").alias("kept"))
     return joins.outer_counts(total, kept, "day").withColumn("day", F.col("day").cast("string"))
 

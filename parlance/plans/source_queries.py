@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from parlance.functions import text as tx
 from parlance.functions.numbers import rounded
 from parlance.operators import filters, joins
-from parlance.plans.inputs import GRID_RESULTS, MESSAGES, POSTS, grid_results, messages, posts, r6, table, with_ctes
+from parlance.plans.inputs import DATED, GRID_RESULTS, MESSAGES, POSTS, grid_results, messages, posts, r6, table, with_ctes
 from parlance.plans.registry import query
 from parlance.schemas import EXPERIMENT_LOG, RAW_MESSAGE
 from parlance.session import saved, scratch_path
@@ -64,12 +64,15 @@ def _(spark, sf):
 
 @query("a02_corrupt_files", with_ctes(MESSAGES, select="SELECT id, group_name FROM messages"))
 def _(spark, sf):
-    path = scratch_path(spark, "mixed")
-    good = messages(spark, sf).select("id", "group_name")
-    good.write.parquet(path + "/good")
-    table(spark, sf, "documents").select("text").write.text(path + "/bad")
-    reader = spark.read.schema(good.schema).option("ignoreCorruptFiles", True)
-    return reader.parquet(path + "/good", path + "/bad")
+    """A dump that also holds files which are called gzip and are not."""
+    path = scratch_path(spark, "mixed") + "/extracted"
+    write_dump(raw_messages(spark, sf), path)
+    for source in table(spark, sf, "documents").select("source").filter("source is not null").distinct().take(5):
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/group_name=bad-{source['source']}/broken.csv.gz")
+        with_content = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+        with_content.write(bytearray(b"this is no gzip file"))
+        with_content.close()
+    return src.add_lineage(src.read_dump(spark, path, ignore_corrupt=True)).select("id", "group_name")
 
 
 MALFORMED_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("group_name", T.StringType())])
@@ -136,11 +139,11 @@ def _(spark, sf):
 def _(spark, sf):
     base = scratch_path(spark, "batches")
     write_dump(raw_messages(spark, sf), base + "/extracted")
-    files = src.add_lineage(src.read_dump(spark, base + "/extracted")).select("file_path").distinct()
-    paths = sorted(r["file_path"] for r in files.toLocalIterator())
-    sinks.convert_in_batches(
-        spark, paths, lambda s, batch: src.add_lineage(src.read_dump(s, batch)), base + "/out", base + "/ledger", 8
-    )
+    paths = src.list_dump(spark, base + "/extracted")
+    read = lambda s, batch: src.add_lineage(src.read_dump(s, batch))
+    half = paths[: len(paths) // 2]
+    for some in (half, paths):  # the second run goes on behind the first
+        sinks.convert_in_batches(spark, some, read, base + "/out", base + "/ledger", 8)
     return src.load_tables(spark, base + "/out").groupBy("group_name").agg(F.count("*").alias("n"))
 
 
@@ -153,10 +156,6 @@ def _(spark, sf):
     return src.load_tables(spark, path, ["doc_id", "lang"]).unionByName(src.load_tables(spark, [path], ["doc_id", "lang"]))
 
 
-DATED = """dated AS (SELECT id, group_name, year(t) AS year, month(t) AS month FROM (
-  SELECT id, group_name, make_timestamp("timestamp" * 1000000) AS t FROM messages))"""
-
-
 def dated_messages(spark, sf):
     return filters.add_period(messages(spark, sf)).select("id", "group_name", "year", "month")
 

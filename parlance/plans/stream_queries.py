@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parlance.functions.numbers import rounded
 from parlance.operators import classify, filters
 from parlance.plans.classify_queries import labelled_texts
-from parlance.plans.inputs import MESSAGES, POSTS, REPEATED_POSTS, r6, repeated_posts, table, with_ctes
+from parlance.plans.inputs import DATED, MESSAGES, POSTS, REPEATED_POSTS, r6, repeated_posts, table, with_ctes
 from parlance.plans.registry import query
 from parlance.plans.text_queries import STOPWORDS, normal_ctes
 from parlance.session import scratch_path
@@ -99,11 +99,16 @@ def _(spark, sf):
     )
 
 
-@query("k05_stream_inference")
+@query(
+    "k05_stream_inference",
+    with_ctes(MESSAGES, DATED, select="SELECT year, month, count(*) AS n, count(*) AS predicted FROM dated GROUP BY 1, 2"),
+)
 def _(spark, sf):
     stages = [*classify.text_features("text", 1 << 12), classify.logistic_regression(table(spark, sf, "labels").count(), max_iter=10)]
     model = classify.fit_pipeline(labelled_texts(spark, sf), stages)
     path = scratch_path(spark, "stream-predicted")
     arriving = filters.add_period(documents_stream(spark, sf).withColumn("text", F.coalesce("text", F.lit(""))))
     streams.infer(arriving, model, ["clean", "toxic"], "predicted", path, scratch_path(spark, "state"))
-    return spark.read.parquet(path).groupBy("year", "month", "predicted").agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).groupBy("year", "month").agg(
+        F.count("*").alias("n"), F.count_if(F.col("predicted").isin("clean", "toxic")).alias("predicted")
+    )

@@ -62,6 +62,12 @@ def read_dump(
     return reader.schema(schema).csv([paths] if isinstance(paths, str) else list(paths))
 
 
+def list_dump(spark: SparkSession, folder: str, pattern: str = "*.gz") -> list[str]:
+    """The paths of the dump files below ``folder``, in order; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return sorted(r["path"] for r in files.select("path").toLocalIterator())
+
+
 def add_lineage(df: DataFrame) -> DataFrame:
     """The file each row came from and the group its folder names."""
     path = F.col("_metadata.file_path")

@@ -22,6 +22,7 @@ LEDGER = T.StructType(
         T.StructField("status", T.StringType()),
         T.StructField("error", T.StringType()),
         T.StructField("finished", T.StringType()),
+        T.StructField("paths", T.ArrayType(T.StringType())),
     ]
 )
 
@@ -117,19 +118,22 @@ def convert_in_batches(
 ) -> DataFrame:
     """Convert many source files in batches; a failed batch is logged and skipped.
 
-    The driver handles path names only. The first batch overwrites the target and later ones
-    append; every batch leaves a row in the ledger table, which is returned.
+    The driver handles path names only. Every batch leaves a row in the ledger table, which is returned; a later call goes
+    on with the files that no finished batch of the ledger holds. Without a finished batch the target is overwritten.
     """
-    log = []
-    started = False
-    for number, start in enumerate(range(0, len(paths), batch_size), 1):
-        batch = list(paths[start : start + batch_size])
+    log, before = [], read_log(spark, ledger, LEDGER)
+    done = before.filter("status = 'done'").select(F.explode("paths").alias("path")).distinct()
+    finished = {r["path"] for r in done.toLocalIterator()}
+    first = (before.agg(F.max("batch")).first()[0] or 0) + 1
+    started, todo = bool(finished), [p for p in paths if p not in finished]
+    for number, start in enumerate(range(0, len(todo), batch_size), first):
+        batch = todo[start : start + batch_size]
         try:
             read(spark, batch).write.mode("append" if started else "overwrite").parquet(out)
             started, status, error = True, "done", None
         except Exception as problem:  # one bad batch must not end the run
             status, error = "failed", str(problem)
-        log.append((number, len(batch), status, error, datetime.now(timezone.utc).isoformat()))
+        log.append((number, len(batch), status, error, datetime.now(timezone.utc).isoformat(), batch))
     spark.createDataFrame(log, LEDGER).write.mode("append").parquet(ledger)
     return spark.read.schema(LEDGER).parquet(ledger)
 

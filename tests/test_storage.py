@@ -49,6 +49,11 @@ def test_batches_log_failures_and_go_on(spark, tmp_path):
         (1, "done", None), (2, "failed", "disk"), (3, "done", None)
     ]
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    good = lambda session, some: src.add_lineage(src.read_dump(session, some))
+    again = sinks.convert_in_batches(spark, paths, good, str(tmp_path / "out"), str(tmp_path / "ledger"), 1)
+    assert sorted((r["batch"], r["status"]) for r in again.collect()) == [(1, "done"), (2, "failed"), (3, "done"), (4, "done")]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    assert [p.rsplit("/", 2)[1] for p in src.list_dump(spark, str(tmp_path / "extracted"))] == ["g1", "g2", "g3"]
 
 
 def test_overwrite_is_idempotent_and_resume_adds_only_new_periods(spark, tmp_path):
