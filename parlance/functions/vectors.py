@@ -2,40 +2,86 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_MATRIX_CELLS = 50_000_000
+#: Products in memory at a time; rows of a batch are taken in slices of that many.
+SLICE_CELLS = 4_000_000
 
 
-def dot_products(vector: Column, matrix: Sequence[Sequence[float]]) -> Column:
-    """The products of an array column, scaled to length 1, with every row of a small matrix.
+def _unit_slices(rows: pd.Series, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    step = max(1, SLICE_CELLS // max(width, 1))
+    for start in range(0, len(rows), step):
+        stacked = np.stack(rows.iloc[start : start + step].to_numpy()).astype("float64")
+        lengths = np.linalg.norm(stacked, axis=1, keepdims=True)
+        yield start, np.divide(stacked, lengths, out=np.zeros_like(stacked), where=lengths > 0)
 
-    The matrix (topics by dimensions) travels to the tasks once; each Arrow batch is one matrix
-    product.
-    """
-    block = np.asarray(matrix, dtype="float64").reshape(len(matrix), -1)
-    if block.size > MAX_MATRIX_CELLS:
-        raise ValueError(f"matrix of {block.size} cells is too large to ship to every task")
-    transposed = block.T
+
+def dot_products(vector: Column, matrix: Sequence[Sequence[float]], spark: SparkSession) -> Column:
+    """The products of an array column, scaled to length 1, with every row of the matrix, for results that are this matrix."""
+    shared = spark.sparkContext.broadcast(np.asarray(matrix, dtype="float64").reshape(len(matrix), -1).T)
 
     @F.pandas_udf("array<double>")
     def product(rows: pd.Series) -> pd.Series:
-        if not len(rows):
-            return pd.Series([], dtype=object)
-        stacked = np.stack(rows.to_numpy()).astype("float64")
-        lengths = np.linalg.norm(stacked, axis=1, keepdims=True)
-        return pd.Series(list(np.divide(stacked, lengths, out=np.zeros_like(stacked), where=lengths > 0) @ transposed))
+        parts = [list(units @ shared.value) for _, units in _unit_slices(rows, shared.value.shape[1])]
+        return pd.Series([row for part in parts for row in part], dtype=object)
 
     return product(vector)
 
 
+def best_product(vector: Column, matrix: Sequence[Sequence[float]], spark: SparkSession) -> Column:
+    """The largest product of an array column, scaled to length 1, with a row of the matrix: ``place`` and ``value``.
+
+    The matrix (topics by dimensions) is broadcast once; only the two numbers come back from the batch. Of equal
+    products the first counts.
+    """
+    shared = spark.sparkContext.broadcast(np.asarray(matrix, dtype="float64").reshape(len(matrix), -1).T)
+
+    @F.pandas_udf("struct<place: int, value: double>")
+    def best(rows: pd.Series) -> pd.DataFrame:
+        place, value = np.zeros(len(rows), int), np.zeros(len(rows))
+        for start, units in _unit_slices(rows, shared.value.shape[1]):
+            products = units @ shared.value
+            part = slice(start, start + len(units))
+            place[part], value[part] = products.argmax(1), products.max(1)
+        return pd.DataFrame({"place": place, "value": value})
+
+    return best(vector)
+
+
+def mean_distances(
+    vector: Column, own: Column, sums: Sequence[Sequence[float]], sizes: Sequence[int], spark: SparkSession
+) -> Column:
+    """Mean cosine distance to the other rows of the own group (``own``, null for a group of one) and of the ``nearest`` other group.
+
+    ``own`` is the place of the row's group in ``sums``, the groups' sums of unit vectors, which are broadcast.
+    """
+    shared = spark.sparkContext.broadcast((np.asarray(sums, dtype="float64").T, np.asarray(sizes, dtype="float64")))
+
+    @F.pandas_udf("struct<own: double, nearest: double>")
+    def distances(rows: pd.Series, places: pd.Series) -> pd.DataFrame:
+        matrix, n = shared.value
+        inside, outside = np.zeros(len(rows)), np.zeros(len(rows))
+        for start, units in _unit_slices(rows, len(n)):
+            at = places.to_numpy()[start : start + len(units)].astype(int)
+            part, row = slice(start, start + len(units)), np.arange(len(units))
+            products = units @ matrix
+            with np.errstate(divide="ignore", invalid="ignore"):
+                inside[part] = np.where(n[at] > 1, (n[at] - products[row, at]) / (n[at] - 1), np.nan)
+            away = 1 - products / n
+            away[row, at] = np.inf
+            outside[part] = away.min(1)
+        return pd.DataFrame({"own": pd.Series(inside).astype(object).where(~np.isnan(inside), None), "nearest": outside})
+
+    return distances(vector, own)
+
+
 def unit(vector: Column) -> Column:
     """The array scaled to length 1; a zero vector stays zero. The length is computed once per row."""
     doubles = F.transform(vector, lambda x: x.cast("double"))

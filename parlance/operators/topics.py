@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
 from parlance.functions.numbers import rounded, safe_ratio
-from parlance.functions.vectors import collect_matrix, dot_products, group_vectors, unit
+from parlance.functions.vectors import best_product, collect_matrix, dot_products, group_vectors, mean_distances, unit
 from parlance.operators.ranking import top_k
 from parlance.operators.sampling import drop_duplicate_texts, sample_per_group
 from parlance.schemas import GRID_RESULT_METRICS
@@ -86,18 +86,10 @@ def silhouette_exact(df: DataFrame, vector: str, topic: str = "topic") -> DataFr
     topics, sums, sizes = collect_matrix(group_vectors(units, "topic", "__u", "sum"), "topic")
     if len(topics) < 2:
         return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("silhouette"))
-    n = F.array(*[F.lit(float(s)) for s in sizes])
     own = F.array_position(F.array(*[F.lit(t) for t in topics]), F.col("topic")).cast("int") - 1
-    scored = rows.withColumn("__dots", dot_products(F.col("__v"), sums)).withColumns({"__own": own, "__n": n})
-    own_n = F.col("__n")[F.col("__own")]
-    a = (own_n - F.col("__dots")[F.col("__own")]) / (own_n - 1)
-    others = F.transform(
-        F.zip_with("__dots", "__n", lambda d, s: 1 - d / s),
-        lambda x, i: F.when(i != F.col("__own"), x),
-    )
-    measured = scored.select(F.when(own_n > 1, a).alias("a"), F.array_min(others).alias("b"))
-    score = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return measured.agg(F.avg(score).alias("silhouette"))
+    measured = rows.select(F.inline(F.array(mean_distances(F.col("__v"), own, sums, sizes, df.sparkSession))))
+    score = (F.col("nearest") - F.col("own")) / F.greatest("nearest", "own")
+    return measured.agg(F.avg(F.when(F.col("own").isNull(), 0.0).otherwise(score)).alias("silhouette"))
 
 
 def reduce_outliers(df: DataFrame, vector: str, threshold: float = 0.0, topic: str = "topic") -> DataFrame:
@@ -109,13 +101,13 @@ def reduce_outliers(df: DataFrame, vector: str, threshold: float = 0.0, topic: s
         return df.withColumn("similarity", F.lit(None).cast("double"))
     lengths = [sum(x * x for x in m) ** 0.5 or 1.0 for m in means]
     units = [[x / length for x in m] for m, length in zip(means, lengths)]
-    outliers = df.filter(F.col(topic) == OUTLIER).withColumn("__sim", dot_products(F.col(vector), units))
-    best = F.array_max("__sim")
-    nearest = F.array(*[F.lit(t) for t in topics])[F.array_position("__sim", best).cast("int") - 1]
-    moved = outliers.withColumns(
-        {"similarity": best, topic: F.when(best >= threshold, nearest).otherwise(F.lit(OUTLIER)).cast(df.schema[topic].dataType)}
+    best = best_product(F.col(vector), units, df.sparkSession)
+    outliers = df.filter(F.col(topic) == OUTLIER).select("*", F.inline(F.array(best)).alias("__place", "similarity"))
+    nearest = F.array(*[F.lit(t) for t in topics])[F.col("__place")]
+    moved = outliers.withColumn(
+        topic, F.when(F.col("similarity") >= threshold, nearest).otherwise(F.lit(OUTLIER)).cast(df.schema[topic].dataType)
     )
-    return members.withColumn("similarity", F.lit(None).cast("double")).unionByName(moved.drop("__sim"))
+    return members.withColumn("similarity", F.lit(None).cast("double")).unionByName(moved.drop("__place"))
 
 
 def representative_documents(
@@ -202,7 +194,7 @@ def topic_similarity(vectors: DataFrame, topic: str = "topic", max_topics: int =
     topics, matrix, _ = collect_matrix(vectors, topic, max_topics)
     lengths = [sum(x * x for x in m) ** 0.5 or 1.0 for m in matrix]
     units = [[x / length for x in m] for m, length in zip(matrix, lengths)]
-    rows = vectors.select(F.col(topic).alias("topic_a"), dot_products(F.col("vector"), units).alias("s"))
+    rows = vectors.select(F.col(topic).alias("topic_a"), dot_products(F.col("vector"), units, vectors.sparkSession).alias("s"))
     pairs = F.arrays_zip(F.array(*[F.lit(t) for t in topics]).alias("topic_b"), F.col("s").alias("similarity"))
     return rows.select("topic_a", F.inline(pairs)).toDF("topic_a", "topic_b", "similarity")
 
