@@ -35,9 +35,9 @@ def recall_at(depth: int, similarity: float, trees: int = TREES) -> float:
 
 
 def prefix_depths(similarity: float, target: float, trees: int = TREES, depth: int = DEPTH) -> list[int]:
-    """The full depth, one in between, and the largest depth that reaches the target recall."""
+    """The full depth, where most links are found among few candidates, and the largest depth that reaches the target recall."""
     last = next((d for d in range(depth, 0, -1) if recall_at(d, similarity, trees) >= target), 1)
-    return sorted({depth, (depth + last + 1) // 2, last}, reverse=True)
+    return sorted({depth, last}, reverse=True)
 
 
 def permutations(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +153,8 @@ def near_duplicates(
     otherwise. A null id gets a null class. Other columns are not read, an empty table gives empty results.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
-    known = rows.filter(F.col("id").isNotNull())
+    # Read once more in every round: stored with the two columns that count, so the given table is opened once.
+    known = saved(rows.filter(F.col("id").isNotNull()), "known-texts")
     sigs = saved(signatures(known, size, trees, depth), "signatures")
     members = sigs.select("id", "digest")
     first = saved(members.groupBy("digest").agg(F.min("id").alias("copy_of")), "first-copies")
