@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -27,9 +28,17 @@ def get_session(app_name: str = "parlance", master: str | None = None, **conf: s
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings results depend on to a session somebody else built."""
+    """Apply the settings results depend on to a session somebody else built.
+
+    Python workers find this package where the driver found it, whatever folder the driver was started in; a cluster
+    without that folder gets the package by ``--py-files``.
+    """
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    root, environment = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
     return spark
 
 
