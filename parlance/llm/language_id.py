@@ -183,9 +183,10 @@ def _decide(texts: pa.Array, model: CodeModel | None) -> tuple[np.ndarray, np.nd
 
 
 def keep_identified(docs: DataFrame, model: CodeModel | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` as they are whose language is recognised and not ambiguous; without a model every row with a letter.
+    """The rows of ``docs`` as they are whose language is recognised; without a model every row with a letter.
 
-    Rows travel through the batches whole, so nothing is joined back.
+    Rejected are texts without a letter and those whose best language has less than one and a half times the share that
+    chance would give it. A text in two languages is flagged as ambiguous by ``identify``, and stays. Rows travel through the batches whole, so nothing is joined back.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _lettered(F.col(f"`{text_col}`")).alias("text"))
 
@@ -195,7 +196,8 @@ def keep_identified(docs: DataFrame, model: CodeModel | None, text_col: str = "t
                 piece = part.slice(low, 256)
                 keep = piece.column(1).is_valid()
                 if model is not None:
-                    keep = pa.array(_decide(piece.column(1), model)[1] >= AMBIGUOUS_BELOW)
+                    least = min(1.5 / len(model.languages), AMBIGUOUS_BELOW)
+                    keep = pa.array(_decide(piece.column(1), model)[1] >= least)
                 yield pa.RecordBatch.from_arrays([piece.column(0).filter(keep)], ["row"])
 
     return packed.mapInArrow(batches, T.StructType([packed.schema["row"]])).select("row.*")
