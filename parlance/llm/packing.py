@@ -9,6 +9,7 @@ left; when none fits the next sequence opens. Only numbers are shuffled, and gro
 from __future__ import annotations
 
 import os
+import string
 import unicodedata
 import zlib
 from array import array
@@ -27,9 +28,9 @@ GROUP_PIECES = 1024
 #: A Python worker forgets its encoded words beyond this many, so that its memory stays bounded; results do not change.
 WORKER_WORDS = 800_000
 
-# The bytes that byte-level vocabularies write as themselves, and marks that never join a word before them.
+# The bytes that byte-level vocabularies write as themselves, and marks that never join the letters before them.
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
-MARKS = ",.;:!?"
+MARKS = string.punctuation.replace("'", "")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -38,10 +39,10 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in PLAIN_BYTES} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class WordEncoder:
-    """Ids (little-endian unsigned 32-bit) of words, kept by a worker. The tokenizer treats what white space separates on its own.
+class WordEncoder(dict[bytes, bytes]):
+    """Ids (little-endian unsigned 32-bit) of words, made when asked for and kept by a worker. The tokenizer treats what white space separates on its own.
 
-    A word of letters, with at most one mark behind it, is one or two matches of the tokenizer's pattern, so its model is asked directly;
+    A word of letters, with or without marks behind it, is one or two matches of the tokenizer's pattern, so its model is asked directly;
     any other word goes through the whole tokenizer.
     """
 
@@ -52,40 +53,45 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.split = self.tokenizer.model.tokenize
-        self.alphabet, self.marks = byte_alphabet(), {m: self._whole(m) for m in MARKS}
-        self.words: dict[bytes, bytes] = {}
+        self.alphabet, self.marks = byte_alphabet(), {"": b""}
         self.letters: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _of_letters(self, letters: str) -> bytes:
+    def _encode(self, word: bytes) -> bytes:
+        text = word.decode()
+        if text.isascii():
+            letters = text.rstrip(MARKS)
+            marks, letters = text[len(letters) :], letters.lower()
+        else:
+            plain = unicodedata.normalize("NFC", text)
+            letters = plain.rstrip(MARKS)
+            marks = plain[len(letters) :]
+            # Letter by letter, as the tokenizer does it: a sigma at the end of a word is no exception.
+            letters = "".join(c.lower() for c in letters) if "\u03a3" in letters else letters.lower()
         found = self.letters.get(letters)
         if found is None:
+            if not letters.isalpha():
+                return self._whole(text)
             plain = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.alphabet)
             found = self.letters[letters] = array("I", [t.id for t in self.split(plain)]).tobytes()
+        if marks not in self.marks:
+            if len(self.marks) > WORKER_WORDS:
+                self.marks = {"": b""}
+            self.marks[marks] = self._whole(marks)
+        return found + self.marks[marks]
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = self._encode(word)
         return found
 
-    def _encode(self, word: bytes) -> bytes:
-        text = word.decode()
-        letters = text if text.isascii() else unicodedata.normalize("NFC", text)
-        mark = letters[-1:] if letters[-1:] in self.marks else ""
-        letters = letters[: len(letters) - len(mark)]
-        # Letter by letter, as the tokenizer does it: a sigma at the end of a word is no exception.
-        letters = letters.lower() if letters.isascii() else "".join(c.lower() for c in letters)
-        if not letters.isalpha():
-            return self._whole(text)
-        return self._of_letters(letters) + self.marks[mark] if mark else self._of_letters(letters)
-
-    def add(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """All that is known, ``words`` included."""
-        if len(self.words) > WORKER_WORDS:
-            self.words.clear()
+    def make_room(self) -> None:
+        """Forget everything beyond the bound."""
+        if len(self) > WORKER_WORDS:
+            self.clear()
         if len(self.letters) > WORKER_WORDS:
             self.letters.clear()
-        for word in words.difference(self.words):
-            self.words[word] = self._encode(word)
-        return self.words
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -123,10 +129,10 @@ def tokenise(
             for low in range(0, len(part), 512):
                 piece = part.slice(low, 512)
                 texts = [text.tobytes().split() for text in texts_of(piece.column(1))]
-                ids_of = encoder.add(set().union(*texts)).__getitem__
+                encoder.make_room()
                 row, start, chunks, total = [], [], [], []
                 for i, words in enumerate(texts):
-                    ids = b"".join(map(ids_of, words)) + end
+                    ids = b"".join(map(encoder.__getitem__, words)) + end
                     for at in range(0, len(ids), 4 * max_tokens):
                         row.append(i)
                         start.append(at // 4)
