@@ -175,6 +175,32 @@ def test_near_duplicates_against_all_pairs(spark):
     assert kept == set(class_of.values())
 
 
+def template_fixture(rng):
+    """Pairs of near copies that share most of a template, so that many classes meet in one prefix without being alike as a whole."""
+    template, rows = invented(rng, 100), []
+    for group in range(120):
+        base = template + invented(rng, 30)
+        for _ in range(2):
+            words = list(base)
+            words[-1 - rng.randrange(30)] = "edit" + str(rng.randrange(10**6))
+            rows.append((len(rows), " ".join(words), "en"))
+    rng.shuffle(rows)
+    return [(i, text, lang) for i, (_, text, lang) in enumerate(rows)]
+
+
+def test_near_duplicates_of_many_classes_in_one_prefix(spark):
+    rows = template_fixture(random.Random(4))
+    class_of = {r["doc_id"]: r["class_id"] for r in jaccard_forest.near_duplicates(frame(spark, rows))[0].collect()}
+    sets = {i: shingles(t) for i, t, _ in rows}
+    near = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(near) == 120 and all(class_of[a] == class_of[b] for a, b in near) and len(set(class_of.values())) == 120
+
+
+def test_near_duplicates_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_forest, "BLOCK_ROWS", 3)
+    test_near_duplicates_against_all_pairs(spark)
+
+
 def test_near_duplicates_on_edges(spark):
     found = {r["doc_id"]: r for r in jaccard_forest.near_duplicates(frame(spark, EDGES))[0].collect() if r["doc_id"] is not None}
     assert found[6]["class_id"] == found[7]["class_id"] == 6 and found[12]["class_id"] == found[13]["class_id"] == 12
