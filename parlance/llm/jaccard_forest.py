@@ -201,7 +201,8 @@ def near_duplicates(
     """Membership and links.
 
     Membership has a row per input row: ``doc_id``, ``class_id`` (smallest id of the near-duplicate class), ``copy_of`` (smallest id with
-    the same shingle set), ``n_links`` (verified links of that shingle set to different ones). Links are pairs ``u`` > ``v`` of such
+    the same shingle set), ``n_links`` (how many different shingle sets of the class that one is similar to, all pairs of the
+class verified). Links are pairs ``u`` > ``v`` of such
     smallest ids with their exact ``similarity``; together they span every class, and pairs inside a class that
     follow from them are not all spelt out.
 
@@ -226,8 +227,12 @@ def near_duplicates(
         found.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.min("similarity").alias("similarity")), "all-links"
     )
     components = connected_components(links.select("u", "v"))
-    ends = links.select(F.col("u").alias("copy_of")).union(links.select(F.col("v").alias("copy_of")))
-    degree = ends.groupBy("copy_of").agg(F.count(F.lit(1)).alias("n_links"))
+    # Inside a class every pair counts, also one that shares no prefix.
+    classed = sets.join(components, "id", "left").select(
+        "id", F.coalesce("component", "id").alias("key"), F.expr("octet_length(shingles) div 8").alias("size")
+    )
+    counts = verified(saved(classed, "classed"), sets, threshold).filter("v is null")
+    degree = counts.groupBy(F.col("u").alias("copy_of")).agg(F.sum("n").alias("n_links"))
     classes = first.join(components.withColumnRenamed("id", "copy_of"), "copy_of", "left").join(degree, "copy_of", "left")
     classes = saved(
         classes.select("digest", "copy_of", F.coalesce("component", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")),

@@ -196,6 +196,20 @@ def test_near_duplicates_of_many_classes_in_one_prefix(spark):
     assert len(near) == 120 and all(class_of[a] == class_of[b] for a, b in near) and len(set(class_of.values())) == 120
 
 
+@pytest.mark.parametrize("block_rows", [3, 256])
+def test_number_of_links_against_all_pairs(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(jaccard_forest, "BLOCK_ROWS", block_rows)
+    rows = near_fixture(random.Random(9))
+    rows += [(1000 + i, text, lang) for i, text, lang in rows[::5]]  # equal copies are not links
+    found = {r["doc_id"]: r for r in jaccard_forest.near_duplicates(frame(spark, rows))[0].collect()}
+    sets = {i: shingles(t) for i, t, _ in rows if found[i]["copy_of"] == i}
+    for i in found:
+        own = sets[found[i]["copy_of"]]
+        near = [j for j in sets if sets[j] != own and len(sets[j] & own) >= 0.8 * len(sets[j] | own)]
+        assert found[i]["n_links"] == sum(found[j]["class_id"] == found[i]["class_id"] for j in near)
+    assert max(r["n_links"] for r in found.values()) >= 8
+
+
 def test_near_duplicates_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_forest, "BLOCK_ROWS", 3)
     test_near_duplicates_against_all_pairs(spark)
