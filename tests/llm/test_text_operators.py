@@ -275,6 +275,16 @@ def test_passages_against_brute_force(spark):
     assert all(len(texts[i]["text"].split()) < len(rows[i][1].split()) - 70 and texts[i]["n_chars"] == len(texts[i]["text"]) for i in range(5, 40, 2))
 
 
+def test_parts_of_a_chain_that_fails_as_a_whole(spark):
+    rng = random.Random(6)
+    parts = [invented(rng, 52) for _ in range(3)]
+    changed = [[*part[:25], "changed", *part[26:]] for part in parts]  # so that no 50 words are an exact repeat
+    rows = [(i, " ".join(sum(([*part, *invented(rng, 22)] for part in side), [])), "en") for i, side in enumerate([parts, changed])]
+    found = [(r["start_word"], r["end_word"]) for r in chaining.repeated_passages(frame(spark, rows)).collect()]
+    for at in (0, 74, 148):
+        assert any(start <= at and at + 52 <= end for start, end in found)
+
+
 def test_passages_on_edges(spark):
     docs = frame(spark, EDGES)
     passages = chaining.repeated_passages(docs)
