@@ -285,6 +285,16 @@ def test_parts_of_a_chain_that_fails_as_a_whole(spark):
         assert any(start <= at and at + 52 <= end for start, end in found)
 
 
+def test_exact_passages_whose_seeds_come_first_elsewhere(spark):
+    rng = random.Random(8)
+    passage, lines = invented(rng, 52), [invented(rng, 25) for _ in range(3)]
+    around = lambda words: " ".join([*invented(rng, 30), *words, *invented(rng, 30)])
+    texts = [around(passage[:49]), around(passage), around(passage), *map(around, lines), around(sum(lines, [])), around(sum(lines, []))]
+    found = chaining.repeated_passages(frame(spark, [(i, text, "en") for i, text in enumerate(texts)])).collect()
+    spans = {(r["doc_id"], r["source_id"], r["start_word"], r["end_word"]) for r in found}
+    assert spans == {(2, 1, 30, 82), (7, 6, 30, 105)}
+
+
 def test_passages_on_edges(spark):
     docs = frame(spark, EDGES)
     passages = chaining.repeated_passages(docs)
