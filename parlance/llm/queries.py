@@ -6,8 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import byte_bpe, chaining, exact_dedup, jaccard_forest, language_id, packing, perspectives, pu_quality, quality_rules, warc_bundles
-from parlance.llm.common import read
+from parlance.llm import (
+    byte_bpe,
+    chaining,
+    exact_dedup,
+    importance,
+    jaccard_forest,
+    language_id,
+    merkle,
+    packing,
+    perspectives,
+    pu_quality,
+    quality_rules,
+    vantage,
+    warc_bundles,
+)
+from parlance.llm.common import crc_remainder, read
 from parlance.llm.ngrams import held_out
 from parlance.llm.registry import ORACLES, QUERIES, query
 
@@ -206,3 +220,111 @@ def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles, _ = warc_bundles.write_bundles(warc_bundles.record_types(read(spark, sf_dir, "pages")))
     records = warc_bundles.read_bundles(bundles, with_payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a text in SQL: byte by byte, eight steps of the reversed polynomial each."""
+    byte = "list_reduce(list_prepend(xor(c, b), range(8)), lambda d, k: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)"
+    codes = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {byte}), 4294967295)"
+
+
+CRC_WORD, CRC_ID = crc32_sql("word"), crc32_sql("CAST(doc_id AS VARCHAR)")
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WORDS_SQL = f"regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP11_SQL = f"""
+    WITH words AS (SELECT doc_id, unnest({WORDS_SQL}) AS word FROM documents),
+    wanted AS (SELECT unnest({WORDS_SQL}) AS word FROM benchmark),
+    places AS (SELECT word, ({CRC_WORD}) % 10000 AS bucket FROM (SELECT word FROM words UNION SELECT word FROM wanted)),
+    source AS (SELECT bucket, count(*) AS s FROM words JOIN places USING (word) GROUP BY 1),
+    target AS (SELECT bucket, count(*) AS t FROM wanted JOIN places USING (word) GROUP BY 1),
+    totals AS (SELECT (SELECT count(*) FROM words) AS all_s, (SELECT count(*) FROM wanted) AS all_t),
+    gains AS (
+        SELECT bucket, CAST(floor(1000::DOUBLE * ln(((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE)
+               / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE))) AS BIGINT) AS gain
+        FROM source LEFT JOIN target USING (bucket), totals),
+    weighed AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight
+                FROM words JOIN places USING (word) JOIN gains USING (bucket) GROUP BY 1),
+    scored AS (
+        SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+               coalesce(weight, 0) + CAST(floor(-1000::DOUBLE * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT)
+               + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+        FROM documents LEFT JOIN weighed USING (doc_id)),
+    ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS all_n
+               FROM scored WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * all_n // 100 THEN place END AS rank
+    FROM scored LEFT JOIN ranked USING (doc_id)
+    """
+
+
+@query("op11_importance_resampling", OP11_SQL)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents for likeness to the benchmark, and a draw of a tenth of those with twenty words."""
+    docs, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return importance.resample(docs, benchmark, longest=1)
+
+
+def field_sql(column: str) -> str:
+    text = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+
+def leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+OP12_SQL = f"""
+    WITH RECURSIVE leaves AS (
+        SELECT doc_id, source, {leaf_sql("text")} AS leaf,
+               CASE WHEN ({CRC_ID}) % 2 = 0 THEN {leaf_sql("replace(text, chr(10), '')")} ELSE {leaf_sql("text")} END AS other,
+               row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+        FROM documents),
+    nodes(source, level, pos, n, h) AS (
+        SELECT source, 0, pos, n, leaf FROM leaves
+        UNION ALL
+        SELECT source, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos))
+        FROM nodes WHERE n > 1 GROUP BY source, level, pos // 3, n),
+    subroots AS (
+        SELECT source, h AS subroot, level AS height, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS pos,
+               count(*) OVER () AS n FROM nodes WHERE n = 1),
+    tops(level, pos, n, h) AS (
+        SELECT 0, pos, n, subroot FROM subroots
+        UNION ALL
+        SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 3, n),
+    everything AS (
+        SELECT source AS tree, false AS upper, level, pos, n, h FROM nodes UNION ALL SELECT NULL, true, level, pos, n, h FROM tops),
+    runs AS (
+        SELECT tree, upper, level, pos // 3 AS run, any_value(n) AS n, list(h ORDER BY pos) AS hs FROM everything WHERE n > 1 GROUP BY ALL),
+    steps(doc_id, source, upper, level, pos, h, siblings) AS (
+        SELECT doc_id, source, false, 0, pos, other, '' FROM leaves
+        UNION ALL
+        SELECT s.doc_id, s.source, s.upper OR r.hs IS NULL, CASE WHEN r.hs IS NULL THEN 0 ELSE s.level + 1 END,
+               CASE WHEN r.hs IS NULL THEN b.pos ELSE s.pos // 3 END,
+               CASE WHEN r.hs IS NULL THEN s.h ELSE sha256(array_to_string(list_transform(r.hs,
+                   lambda x, i: CASE WHEN i - 1 = s.pos % 3 THEN s.h ELSE x END), '')) END,
+               CASE WHEN r.hs IS NULL THEN s.siblings
+                    ELSE s.siblings || array_to_string(list_filter(r.hs, lambda x, i: i - 1 <> s.pos % 3), '') END
+        FROM steps s JOIN subroots b ON b.source IS NOT DISTINCT FROM s.source
+        LEFT JOIN runs r ON r.upper = s.upper AND (s.upper OR r.tree IS NOT DISTINCT FROM s.source) AND r.level = s.level AND r.run = s.pos // 3
+        WHERE r.hs IS NOT NULL OR NOT s.upper),
+    ends AS (SELECT doc_id, max_by(h, level) AS folded_root, max_by(siblings, level) AS siblings FROM steps WHERE upper GROUP BY doc_id)
+    SELECT doc_id, leaf, subroot, t.h AS root, sha256(siblings) AS proof_sha256, folded_root, folded_root = t.h AS verified
+    FROM leaves JOIN ends USING (doc_id) JOIN subroots b ON b.source IS NOT DISTINCT FROM leaves.source, (SELECT h FROM tops WHERE n = 1) t
+    """
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents by source, with every second document's line breaks deleted as the tampering."""
+    plain = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    text = F.col("text")
+    leaf = merkle.leaf_digest(*plain, text)
+    tampered = F.when(crc_remainder("doc_id", 2) == 0, merkle.leaf_digest(*plain, F.translate(text, "\n", "")))
+    return merkle.manifest(read(spark, sf_dir, "documents"), "doc_id", "source", leaf, tampered)
+
+
+@query("op13_simhash")
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components that three differing bits make."""
+    return vantage.near_fingerprints(read(spark, sf_dir, "documents"))
