@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from parlance.functions import vectors as vec
 from parlance.functions.numbers import rounded
-from parlance.operators import clustering, coherence, joins, topics
+from parlance.operators import clustering, coherence, hierarchy, joins, topics
+from parlance.operators.neighbours import nearest_neighbours
 from parlance.operators.lemmas import normalise
 from parlance.plans.inputs import MACRO_MAP, POST_TOPICS, macro_map, post_topics, r6, table, with_ctes
 from parlance.plans.registry import ORACLES, query
@@ -119,6 +120,57 @@ def _(spark, sf):
     return clustering.number_topics(clustered(spark, sf), "cluster").select("id", "topic")
 
 
+def coordinate_sql(run: int) -> str:
+    signed = f"list_transform(embedding, lambda x, i: x::DOUBLE * CASE WHEN (i - 1) // {run} % 2 = 0 THEN 1 ELSE -1 END)"
+    return f"list_reduce({signed}, lambda p, q: p + q) / 8::DOUBLE"
+
+
+def reduced_points(spark, sf):
+    """Three signed sums of all coordinates of every vector."""
+
+    def coordinate(run):
+        signed = f"transform(embedding, (x, i) -> CAST(x AS DOUBLE) * IF(i div {run} % 2 = 0, 1, -1))"
+        return F.expr(f"aggregate({signed}, CAST(0 AS DOUBLE), (p, q) -> p + q) / 8")
+
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.array(*[coordinate(r) for r in (1, 2, 4)]).alias("v"))
+
+
+N_NEAR, MIN_SAMPLES = 10, 4
+NEAR = f"""spots AS (SELECT vec_id AS id, {coordinate_sql(1)} AS a, {coordinate_sql(2)} AS b, {coordinate_sql(4)} AS c FROM embeddings),
+  gaps AS (SELECT x.id, y.id AS other, sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) + (x.c - y.c) * (x.c - y.c)) AS distance
+    FROM spots x JOIN spots y ON x.id <> y.id),
+  near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS place FROM gaps QUALIFY place <= {N_NEAR}),
+  cores AS (SELECT id, max(distance) FILTER (place < {MIN_SAMPLES}) AS core FROM near GROUP BY 1)"""
+
+
+@query("g03_nearest_neighbours", with_ctes(NEAR, select=f"SELECT id, other, {r6('distance')} AS distance FROM near"))
+def _(spark, sf):
+    found = nearest_neighbours(reduced_points(spark, sf), "id", "v", N_NEAR, cell_rows=64)
+    return found.select("id", "other", rounded(F.col("distance")).alias("distance"))
+
+
+@query(
+    "g03_reachability_edges",
+    with_ctes(
+        NEAR,
+        select=f"""SELECT DISTINCT least(n.id, other) AS u, greatest(n.id, other) AS v, {r6('greatest(distance, p.core, q.core)')} AS weight
+        FROM near n JOIN cores p USING (id) JOIN cores q ON q.id = other""",
+    ),
+)
+def _(spark, sf):
+    points = saved(reduced_points(spark, sf), "points")
+    near = nearest_neighbours(points, "id", "v", N_NEAR, cell_rows=64)
+    edges = hierarchy.reachability_edges(saved(near, "near"), points.select("id", F.lit(1).alias("n")), MIN_SAMPLES)
+    return edges.select("u", "v", rounded(F.col("weight")).alias("weight"))
+
+
+@query("g03_hierarchical_clusters")
+def _(spark, sf):
+    """Clusters of all densities; tests compare them with the whole tree on small fixtures."""
+    found = hierarchy.hierarchical_clusters(reduced_points(spark, sf), "id", "v", 8, MIN_SAMPLES, N_NEAR, cell_rows=64)
+    return found.select("id", "cluster")
+
+
 @query("g03b_centroid_clusters")
 def _(spark, sf):
     rows = clustering.centroid_clusters(vector_topics(spark, sf).drop("topic"), "embedding", 6)
