@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
-from parlance.operators import filters, lemmas
+from parlance.operators import filters, lemmas, tagging
 from parlance.plans.inputs import (
     MACRO_MAP,
     MESSAGES,
@@ -20,6 +20,7 @@ from parlance.plans.inputs import (
     with_ctes,
 )
 from parlance.plans.registry import query
+from parlance.session import saved
 
 # The stop words the registered queries pass in.
 STOPWORDS = ["the", "and", "of", "that", "with", "les", "des", "und", "der", "que", "los"]
@@ -335,6 +336,122 @@ def _(spark, sf):
     return found.groupBy("lemma").agg(F.count("*").alias("n"), F.countDistinct("id").alias("docs"))
 
 
+TAG_NAMES = ["adj", "adv", "noun", "verb"]
+ENDINGS = {"adj": "(er|est)$", "adv": "ly$", "noun": "s$", "verb": "(ing|ed|s)$"}
+
+
+def tagged_words(spark, sf):
+    """The words of the benchmark texts with a tag that depends on the word and on the one before it."""
+    words = table(spark, sf, "benchmark").select("item_id", tx.normalised_tokens(F.col("text"), STOPWORDS).alias("w"))
+    spelt = words.select("item_id", F.posexplode("w").alias("position", "token"), "w")
+    before = F.when(F.col("position") > 0, F.length(F.expr("w[position - 1]"))).otherwise(0)
+    names = F.array(*[F.lit(t) for t in TAG_NAMES])
+    return spelt.select("item_id", "position", "token", names[(F.length("token") + before % 2) % 4].alias("tag"))
+
+
+def tagged_dictionary(tagged):
+    """Word and tag to the word without the ending that its part of speech has."""
+    lemma = F.col("token")
+    for tag, ending in ENDINGS.items():
+        lemma = F.when(F.col("tag") == tag, F.regexp_replace("token", ending, "")).otherwise(lemma)
+    return tagged.select("token", "tag").distinct().withColumn("lemma", lemma).filter(F.length("lemma") >= 2)
+
+
+TAGGED = f"""b_stripped AS (SELECT item_id, {STRIPPED_SQL} AS s FROM benchmark),
+b_capped AS (SELECT item_id, {CAP_SQL.format('s')} AS s FROM b_stripped),
+b_lists AS (SELECT item_id, list_filter({TOKENS_SQL.format('s')},
+  lambda t: NOT list_contains({STOPWORD_SQL}, t) AND length(t) >= 3) AS w FROM b_capped),
+b_spelt AS (SELECT item_id, unnest(w) AS token, generate_subscripts(w, 1) AS position, w FROM b_lists),
+tagged AS (SELECT item_id, position, token,
+  {TAG_NAMES}[(length(token) + CASE WHEN position > 1 THEN length(w[position - 1]) ELSE 0 END % 2) % 4 + 1] AS tag FROM b_spelt),
+by_tag AS (SELECT DISTINCT token, tag, CASE tag {" ".join(f"WHEN '{t}' THEN regexp_replace(token, '{e}', '')" for t, e in ENDINGS.items())} END AS lemma
+  FROM tagged),
+dictionary AS (SELECT * FROM by_tag WHERE length(lemma) >= 2)"""
+
+
+@query(
+    "c10_lemmatise_by_tag",
+    with_ctes(
+        TAGGED,
+        select="""SELECT item_id, string_agg(coalesce(lemma, t.token), ' ' ORDER BY position) AS lemmas
+        FROM tagged t LEFT JOIN dictionary d ON t.token = d.token AND t.tag = d.tag GROUP BY item_id""",
+    ),
+)
+def _(spark, sf):
+    tagged = tagged_words(spark, sf)
+    found = tagging.lemmatise_tagged(tagged, tagged_dictionary(tagged))
+    return lemmas.collect_text(found, ["item_id"], "lemma", "lemmas")
+
+
+def log_share_sql(count: str, total: str) -> str:
+    return f"CAST(floor(1000::DOUBLE * ln(({count})::DOUBLE / ({total}))) AS BIGINT)"
+
+
+TAGS_SQL = ", ".join(f"({i}, '{t}')" for i, t in enumerate(TAG_NAMES))
+VITERBI = f"""names(k, tag) AS (VALUES {TAGS_SQL}),
+per_tag AS (SELECT k, count(tagged.tag) AS n FROM names LEFT JOIN tagged USING (tag) GROUP BY k),
+chained AS (SELECT item_id, tag, lag(tag) OVER (PARTITION BY item_id ORDER BY position) AS before FROM tagged),
+starts AS (SELECT k, count(c.tag) AS n FROM names LEFT JOIN (SELECT tag FROM chained WHERE before IS NULL) c USING (tag) GROUP BY k),
+start AS (SELECT list({log_share_sql('n + 1', '(SELECT sum(n) FROM starts) + 4')} ORDER BY k) AS start FROM starts),
+pairs AS (SELECT a.k AS i, b.k AS j, count(c.tag) AS n FROM names a CROSS JOIN names b
+  LEFT JOIN chained c ON c.before = a.tag AND c.tag = b.tag GROUP BY 1, 2),
+arrive AS (SELECT j, list({log_share_sql('n + 1', 'leaving + 4')} ORDER BY i) AS row
+  FROM (SELECT *, sum(n) OVER (PARTITION BY i) AS leaving FROM pairs) GROUP BY j),
+follow AS (SELECT list(row ORDER BY j) AS follow FROM arrive),
+of_word AS (SELECT token, k, count(*) FILTER (t.tag = names.tag) AS n, count(*) AS total FROM tagged t CROSS JOIN names GROUP BY 1, 2),
+vocabulary AS (SELECT count(DISTINCT token) AS v, count(*) AS total FROM tagged),
+rare AS (SELECT k, sum(n) FILTER (total = 1) AS n FROM of_word GROUP BY 1),
+scores AS (SELECT token, list({log_share_sql('o.n + 1', 'p.n + v + 1')} ORDER BY k) AS e FROM of_word o JOIN per_tag p USING (k), vocabulary GROUP BY 1),
+unknown AS (SELECT list({log_share_sql('coalesce(r.n, 0) + 1', '(SELECT coalesce(sum(n), 0) FROM rare) + 4')}
+  - {log_share_sql('p.n + 1', 'total + 4')} + {log_share_sql('1', 'v + 1')} ORDER BY k) AS u FROM rare r JOIN per_tag p USING (k), vocabulary),
+spelt AS (SELECT id, unnest(words) AS token, generate_subscripts(words, 1) AS pos FROM normal),
+paths AS (SELECT id, list(coalesce(e, u) ORDER BY pos) AS es FROM spelt LEFT JOIN scores USING (token), unknown GROUP BY id),
+forward(id, pos, n, s, backs, es) AS (
+  SELECT id, 1, len(es), list_transform(start, lambda x, i: x + es[1][i]), CAST([] AS BIGINT[][]), es FROM paths, start
+  UNION ALL
+  SELECT id, pos + 1, n, list_transform(m, lambda x, j: list_max(x) + es[pos + 1][j]),
+    list_append(backs, list_transform(m, lambda x: CAST(list_position(x, list_max(x)) AS BIGINT))), es
+  FROM (SELECT f.*, list_transform(follow, lambda row: list_transform(row, lambda x, i: x + f.s[i])) AS m FROM forward f, follow WHERE pos < n)),
+backward(id, pos, k, backs, found) AS (
+  SELECT id, n, CAST(list_position(s, list_max(s)) AS BIGINT), backs, [CAST(list_position(s, list_max(s)) AS BIGINT)] FROM forward WHERE pos = n
+  UNION ALL
+  SELECT id, pos - 1, backs[pos - 1][k], backs, list_prepend(backs[pos - 1][k], found) FROM backward WHERE pos > 1),
+paths_found AS (SELECT id, list_transform(found, lambda k: {TAG_NAMES}[k]) AS tags FROM backward WHERE pos = 1)"""
+
+
+def words_and_model(spark, sf):
+    words = messages(spark, sf).select("id", tx.normalised_tokens(F.col("text"), STOPWORDS).alias("words"))
+    tagged = saved(tagged_words(spark, sf), "tagged-words")
+    return words, tagging.learn_tags(tagged, ["item_id"]), tagged
+
+
+@query(
+    "c10_viterbi_tags",
+    "WITH RECURSIVE "
+    + ", ".join([MESSAGES, normal_ctes("messages", "id"), TAGGED, VITERBI])
+    + " SELECT normal.id, coalesce(array_to_string(tags, ' '), '') AS tags FROM normal LEFT JOIN paths_found USING (id)",
+)
+def _(spark, sf):
+    words, model, _ = words_and_model(spark, sf)
+    return tagging.tag_words(words, "words", model).select("id", F.array_join("tags", " ").alias("tags"))
+
+
+@query(
+    "c12_normalise_tagged_lemmas",
+    "WITH RECURSIVE "
+    + ", ".join([MESSAGES, normal_ctes("messages", "id"), TAGGED, VITERBI])
+    + """, both_lists AS (SELECT spelt.id, pos, token, tags[pos] AS tag FROM spelt JOIN paths_found USING (id)),
+    texts AS (SELECT id, string_agg(coalesce(lemma, b.token), ' ' ORDER BY pos) AS clean_text
+      FROM both_lists b LEFT JOIN dictionary d ON b.token = d.token AND b.tag = d.tag GROUP BY id)
+    SELECT normal.id, coalesce(texts.clean_text, '') AS clean_text FROM normal LEFT JOIN texts USING (id)""",
+)
+def _(spark, sf):
+    """Words tagged by the model of the benchmark texts, then replaced by their lemma for that tag."""
+    words, model, tagged = words_and_model(spark, sf)
+    cleaned = tagging.normalise_tagged(words, "words", ["id"], model, tagged_dictionary(tagged))
+    return cleaned.select("id", "clean_text")
+
+
 @query(
     "c11_join_tokens",
     f"SELECT doc_id AS id, array_to_string({TOKENS_SQL.format('text')}, ' ') AS joined FROM documents",
