@@ -26,8 +26,8 @@ from parlance.llm.numbering import join_counted
 from parlance.session import saved
 
 SHINGLE, SEED, REACH = 3, 42, 3
-SHARD_ROWS = 4096, 1 << 18
-SHARDS = 256
+SHARDS = 64
+SHARD_ROWS = 256, 1 << 18
 SAMPLE_ROWS = 1 << 17
 FEWEST_POINTS = 64
 LEAF_ROWS = 384
@@ -271,7 +271,8 @@ def near_links(
 ) -> DataFrame:
     """Links ``u``, ``v`` between distinct prints that connect exactly what pairs within ``reach`` connect.
 
-    ``most`` is the size of a shard, by default a 256th of all prints within bounds that suit a task. A shard above ``most`` rows is dealt into blocks, and every two blocks are one task's rows, so no task holds more than twice ``most``.
+    ``most`` is the size of a shard. Prints near a boundary are in several shards, and the more shards there are the more copies are
+    shuffled, so by default there are about ``SHARDS``, until they would be too large for a task. A shard above ``most`` rows is dealt into blocks, and every two blocks are one task's rows, so no task holds more than twice ``most``.
     """
     most = most or min(max(n_prints // SHARDS, SHARD_ROWS[0]), SHARD_ROWS[1])
     met = saved(shards(prints, n_prints, reach, most, sample), "shards")
