@@ -162,7 +162,8 @@ def manifest(
         leaf.alias("leaf"),
         (F.lit(None).cast("binary") if tampered is None else tampered).alias("tampered"),
     )
-    placed = numbered(rows, ["tree"], ["id", "leaf"]).withColumn("block", F.floor(F.col("pos") / size))
+    # Stored before they are ordered: Spark reads the rows twice to find the ranges, and the texts should be hashed once.
+    placed = numbered(saved(rows, "leaf-digests"), ["tree"], ["id", "leaf"]).withColumn("block", F.floor(F.col("pos") / size))
     placed = saved(placed.select("tree", "n", "block", "pos", "id", "leaf", "tampered"), "leaves")
     largest = placed.agg(F.max("n")).first()[0] or 0
 
