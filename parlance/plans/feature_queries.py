@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
 from parlance.functions.numbers import rounded
+from parlance.operators import entities
 from parlance.operators import features as ft
 from parlance.operators import filters, joins, selection, toxicity
 from parlance.plans.inputs import MESSAGES, macro_map, messages, post_topics, r6, table, with_ctes
@@ -196,6 +197,59 @@ for _name, (_function, _columns) in _SIMPLE.items():
 
 features_query("j03_word_norms", [c for c in ft.feature_names() if any(m in c for m in ft.NORMS)])
 features_query("j04_entities", [c for c in ft.feature_names() if "n_ent" in c])
+TOKEN_SQL = WORD_SQL + "|[!-/:-@\\[-^`{-~]"
+
+
+def gazetteer(spark, sf):
+    """Names of one to three words taken from the benchmark texts: runs that begin with a long word, so that many overlap."""
+    words = table(spark, sf, "benchmark").select(ft.tokens_of(F.col("text")).alias("w"))
+    runs = words.select("w", F.posexplode("w").alias("i", "first")).filter(F.length("first") >= 8)
+    names = runs.select(F.explode(F.array(*[F.array_join(F.slice("w", F.col("i") + 1, n), " ") for n in (1, 2, 3)])).alias("name"))
+    entity = F.array(*[F.lit(e) for e in ENTITY_CYCLE])[F.length("name") % len(ENTITY_CYCLE)]
+    return names.distinct().withColumn("entity", entity)
+
+
+def spans_sql(source: str, key: str) -> str:
+    """Every word of the texts with the runs of one, two and three words that begin at it."""
+    return f"""(SELECT {key}, i - 1 AS start, t1, unnest([t1, t1 || ' ' || t2, t1 || ' ' || t2 || ' ' || t3]) AS name, unnest([1, 2, 3]) AS words
+    FROM (SELECT {key}, i, t1, lead(t1, 1) OVER ahead AS t2, lead(t1, 2) OVER ahead AS t3
+      FROM (SELECT {key}, unnest(w) AS t1, generate_subscripts(w, 1) AS i
+        FROM (SELECT {key}, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN_SQL}') AS w FROM {source}))
+      WINDOW ahead AS (PARTITION BY {key} ORDER BY i)))"""
+
+
+NAMES = f"""gazetteer AS (SELECT DISTINCT name, {_case(f"length(name) % {len(ENTITY_CYCLE)}", ENTITY_CYCLE)} AS entity
+    FROM {spans_sql('benchmark', 'item_id')} WHERE length(t1) >= 8 AND name IS NOT NULL),
+  hits AS (SELECT doc_id, start, words, name, entity FROM {spans_sql('documents', 'doc_id')} JOIN gazetteer USING (name)),
+  listed AS (SELECT doc_id, list(struct_pack(start := start, words := words, name := name, entity := entity) ORDER BY start, words DESC) AS ms
+    FROM hits GROUP BY doc_id),
+  walk(doc_id, m, ms) AS (SELECT doc_id, ms[1], ms FROM listed
+    UNION ALL SELECT doc_id, rest[1], rest FROM (SELECT doc_id, list_filter(ms, lambda x: x.start >= m.start + m.words) AS rest FROM walk)
+    WHERE len(rest) > 0),
+  found AS (SELECT doc_id, m.start AS start, m.words AS words, m.name AS name, m.entity AS entity FROM walk)"""
+
+
+@query(
+    "j04_named_entities",
+    f"WITH RECURSIVE {NAMES} SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(words AS INTEGER) AS words, name, entity FROM found",
+)
+def _(spark, sf):
+    return entities.find_entities(docs(spark, sf), KEY, "text", gazetteer(spark, sf))
+
+
+@query(
+    "j04_named_entity_counts",
+    f"WITH RECURSIVE {NAMES}, d_words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN_SQL}') AS w FROM documents), per AS (SELECT doc_id, "
+    + ", ".join(f"count(*) FILTER (entity = '{e}') AS t_n_ent_{e}" for e in ENTITY_CYCLE)
+    + f" FROM found GROUP BY 1), totals AS (SELECT doc_id, len(w) AS tokens, "
+    + ", ".join(f"coalesce(t_n_ent_{e}, 0) AS t_n_ent_{e}" for e in ENTITY_CYCLE)
+    + " FROM d_words LEFT JOIN per USING (doc_id)) SELECT *, " + " + ".join(f"t_n_ent_{e}" for e in ENTITY_CYCLE) + " AS t_n_ent, "
+    + r6(f"CASE WHEN tokens > 0 THEN ({' + '.join(f't_n_ent_{e}' for e in ENTITY_CYCLE)})::DOUBLE / tokens ELSE 0::DOUBLE END") + " AS a_n_ent_pt FROM totals",
+)
+def _(spark, sf):
+    return round_all(entities.entity_counts(docs(spark, sf), KEY, "text", gazetteer(spark, sf), ENTITY_CYCLE), "a_n_ent_pt")
+
+
 features_query("j05_tag_variation", [c for c in ft.feature_names() if c.endswith("_var")])
 features_query("j06_type_token_ratios", [c for c in ft.feature_names() if "_ttr" in c])
 features_query(
