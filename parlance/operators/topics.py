@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parlance.functions import text as tx
 from parlance.functions.numbers import rounded, safe_ratio
 from parlance.functions.vectors import best_product, collect_matrix, dot_products, group_vectors, mean_distances, unit
-from parlance.operators.ranking import top_k
+from parlance.operators.ranking import cumulative, top_k
 from parlance.operators.sampling import drop_duplicate_texts, sample_per_group
 from parlance.schemas import GRID_RESULT_METRICS
 from parlance.session import broadcast_if_small, saved
@@ -199,27 +199,48 @@ def topic_similarity(vectors: DataFrame, topic: str = "topic", max_topics: int =
     return rows.select("topic_a", F.inline(pairs)).toDF("topic_a", "topic_b", "similarity")
 
 
-def merge_order(similarities: DataFrame, max_topics: int = 1_000) -> DataFrame:
-    """The order in which the closest topics join into a tree (average linkage over the topic matrix)."""
-    spark = similarities.sparkSession
-    rows = similarities.filter("topic_a < topic_b").take(max_topics * max_topics // 2 + 1)
-    if len(rows) > max_topics * (max_topics - 1) // 2:
-        raise ValueError(f"more than {max_topics} topics")
-    link = {(r["topic_a"], r["topic_b"]): r["similarity"] for r in rows}
-    size = {t: 1 for pair in link for t in pair}
-    steps = []
-    while link:
-        (a, b), value = min(link.items(), key=lambda item: (-round(item[1], 9), item[0]))
-        steps.append((len(steps) + 1, a, b, float(value), size[a] + size[b]))
-        for other in list(size):
-            if other in (a, b):
-                continue
-            left = link.pop((min(a, other), max(a, other)))
-            right = link.pop((min(b, other), max(b, other)))
-            link[(min(a, other), max(a, other))] = (left * size[a] + right * size[b]) / (size[a] + size[b])
-        del link[(a, b)]
-        size[a] += size.pop(b)
-    return spark.createDataFrame(steps, "step int, kept int, merged int, similarity double, topics int")
+def merge_order(similarities: DataFrame) -> DataFrame:
+    """The order in which the closest topics join into a tree (average linkage over the topic matrix).
+
+    ``similarities`` has a row per two topics (both directions or one). ``step`` counts the merges, ``kept`` and ``merged`` are the
+    smallest topics of both sides, ``topics`` the size of the joined side. Similarities are compared to nine digits, equal ones by the
+    topics. In every round all pairs that are each other's closest are merged at once: with average linkage later merges cannot come
+    closer than those, so the tree is that of merging one pair after the other. Pairs live in a table that is stored each round.
+    """
+    pairs = similarities.filter("topic_a < topic_b").select(
+        F.col("topic_a").alias("a"), F.col("topic_b").alias("b"), F.col("similarity").cast("double").alias("s"),
+        F.lit(1).cast("long").alias("n_a"), F.lit(1).cast("long").alias("n_b"),
+    )
+    now, merges = saved(pairs, "links"), []
+    while not now.isEmpty():
+        ends = now.select(F.col("a").alias("c"), "*").union(now.select(F.col("b").alias("c"), "*"))
+        order = F.struct((-F.round("s", 9)).alias("less"), "a", "b")
+        closest = ends.groupBy("c").agg(F.min_by(F.struct("a", "b", "s", "n_a", "n_b"), order).alias("pair")).select("pair.*")
+        mutual = saved(closest.groupBy("a", "b", "s", "n_a", "n_b").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").drop("n"), "mutual")
+        merges.append(mutual.select("a", "b", "s", (F.col("n_a") + F.col("n_b")).alias("topics")))
+        into = mutual.select(F.explode(F.array("a", "b")).alias("old"), F.col("a").alias("new"), (F.col("n_a") + F.col("n_b")).alias("size"))
+        into = saved(into, "into")
+        left = into.select(F.col("old").alias("a"), F.col("new").alias("new_a"), F.col("size").alias("size_a"))
+        right = into.select(F.col("old").alias("b"), F.col("new").alias("new_b"), F.col("size").alias("size_b"))
+        moved = now.join(left, "a", "left").join(right, "b", "left").select(
+            F.struct(F.coalesce("new_a", "a").alias("t"), F.coalesce("size_a", "n_a").alias("n")).alias("x"),
+            F.struct(F.coalesce("new_b", "b").alias("t"), F.coalesce("size_b", "n_b").alias("n")).alias("y"),
+            "s", (F.col("n_a") * F.col("n_b")).alias("weight"),
+        )
+        apart = moved.filter("x.t <> y.t").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "s", "weight")
+        means = apart.groupBy("x", "y").agg((F.sum(F.col("s") * F.col("weight")) / F.sum("weight")).alias("s"))
+        now = saved(
+            means.select(F.col("x.t").alias("a"), F.col("y.t").alias("b"), "s", F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")), "links"
+        )
+    found = merges[0] if merges else now.select("a", "b", "s", F.col("n_a").alias("topics"))
+    for more in merges[1:]:
+        found = found.union(more)
+    place = F.struct((-F.round("s", 9)).alias("less"), "topics", "a", "b", "s")
+    ordered = cumulative(found.select(place.alias("place"), F.lit(1).alias("one")), [], "place", ["one"])
+    return ordered.select(
+        F.col("cum_one").cast("int").alias("step"), F.col("place.a").alias("kept"), F.col("place.b").alias("merged"),
+        F.col("place.s").alias("similarity"), F.col("place.topics").cast("int").alias("topics"),
+    )
 
 
 def top_topics(df: DataFrame, model: str, k: int = 3, words: int = 7) -> DataFrame:

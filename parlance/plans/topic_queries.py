@@ -470,7 +470,21 @@ def _(spark, sf):
     return similarity(spark, sf).select("topic_a", "topic_b", rounded(F.col("similarity")).alias("similarity"))
 
 
-@query("g16_merge_order")
+@query(
+    "g16_merge_order",
+    "WITH RECURSIVE " + ", ".join([VECTOR_TOPICS, SIMILARITY]) + f""", links(step, a, b, s, na, nb) AS (
+      SELECT 1, topic_a, topic_b, similarity, 1::BIGINT, 1::BIGINT FROM sim WHERE topic_a < topic_b
+      UNION ALL
+      SELECT step + 1, least(x, y), greatest(x, y), sum(s * na * nb) / sum(na * nb),
+        any_value(CASE WHEN x < y THEN nx ELSE ny END), any_value(CASE WHEN x < y THEN ny ELSE nx END)
+      FROM (SELECT *, CASE WHEN a IN (ka, kb) THEN ka ELSE a END AS x, CASE WHEN a IN (ka, kb) THEN size ELSE na END AS nx,
+              CASE WHEN b IN (ka, kb) THEN ka ELSE b END AS y, CASE WHEN b IN (ka, kb) THEN size ELSE nb END AS ny
+            FROM (SELECT *, first_value(a) OVER best AS ka, first_value(b) OVER best AS kb, first_value(na + nb) OVER best AS size
+                  FROM links WINDOW best AS (ORDER BY -round(s, 9), a, b)))
+      WHERE x <> y GROUP BY step, least(x, y), greatest(x, y))
+    SELECT step, a AS kept, b AS merged, {r6('s')} AS similarity, CAST(na + nb AS INTEGER) AS topics
+    FROM links QUALIFY row_number() OVER (PARTITION BY step ORDER BY -round(s, 9), a, b) = 1""",
+)
 def _(spark, sf):
     return topics.merge_order(similarity(spark, sf)).withColumn("similarity", rounded(F.col("similarity")))
 

@@ -118,24 +118,45 @@ def convert_in_batches(
 ) -> DataFrame:
     """Convert many source files in batches; a failed batch is logged and skipped.
 
-    The driver handles path names only. Every batch leaves a row in the ledger table, which is returned; a later call goes
-    on with the files that no finished batch of the ledger holds. Without a finished batch the target is overwritten.
+    Every batch is committed in two phases: a ledger row names its number and files, then its partition ``batch=<number>`` of the target
+    is written, then a second row ends it. A run that dies in between leaves a batch that is only begun; the next call does that
+    batch again under its number, and its partition is replaced. So no file is lost or converted twice, wherever a run ends.
+
+    The driver handles path names only. A later call goes on with the files that no finished batch holds, those of failed batches
+    among them. Without any ledger row the target is overwritten. Returns the ledger with one row per batch, its last.
     """
-    log, before = [], read_log(spark, ledger, LEDGER)
-    done = before.filter("status = 'done'").select(F.explode("paths").alias("path")).distinct()
-    finished = {r["path"] for r in done.toLocalIterator()}
-    first = (before.agg(F.max("batch")).first()[0] or 0) + 1
-    started, todo = bool(finished), [p for p in paths if p not in finished]
-    for number, start in enumerate(range(0, len(todo), batch_size), first):
-        batch = todo[start : start + batch_size]
+    batches = last_per_batch(read_log(spark, ledger, LEDGER)).select("batch", "status", "paths").collect()
+    known = {p for b in batches if b["status"] == "done" for p in b["paths"]}
+    begun = [(b["batch"], b["paths"]) for b in batches if b["status"] == "begun"]
+    known.update(p for _, again in begun for p in again)
+    todo = [p for p in paths if p not in known]
+    number = max((b["batch"] for b in batches), default=0) + 1
+    work = sorted(begun) + [(number + i // batch_size, todo[i : i + batch_size]) for i in range(0, len(todo), batch_size)]
+    fresh = not batches
+    for number, files in work:
+
+        def note(status: str, error: str | None = None, number: int = number, files: list[str] = files) -> None:
+            row = (number, len(files), status, error, datetime.now(timezone.utc).isoformat(), files)
+            append_log(spark.createDataFrame([row], LEDGER), ledger, LEDGER)
+
+        note("begun")
         try:
-            read(spark, batch).write.mode("append" if started else "overwrite").parquet(out)
-            started, status, error = True, "done", None
+            rows = read(spark, files).withColumn("batch", F.lit(number))
+            # The first batch of all replaces whatever the target held, later ones their own partition.
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "static" if fresh else "dynamic").partitionBy("batch").parquet(out)
         except Exception as problem:  # one bad batch must not end the run
-            status, error = "failed", str(problem)
-        log.append((number, len(batch), status, error, datetime.now(timezone.utc).isoformat(), batch))
-    spark.createDataFrame(log, LEDGER).write.mode("append").parquet(ledger)
-    return spark.read.schema(LEDGER).parquet(ledger)
+            note("failed", str(problem))
+        else:
+            fresh = False
+            note("done")
+    return last_per_batch(read_log(spark, ledger, LEDGER))
+
+
+def last_per_batch(ledger: DataFrame) -> DataFrame:
+    """The state of every batch: ``done`` or ``failed`` where it has ended, else ``begun``."""
+    rest = [f.name for f in LEDGER.fields if f.name != "batch"]
+    order = F.struct((F.col("status") != "begun").alias("ended"), "finished")
+    return ledger.groupBy("batch").agg(F.max_by(F.struct(*rest), order).alias("last")).select("batch", "last.*")
 
 
 def append_log(rows: DataFrame, path: str, schema: T.StructType) -> None:
