@@ -17,6 +17,7 @@ import base64
 import json
 import zlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,8 @@ SPACE = r"\t\n\x0B\f\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3
 NO_RANK = 2**31 - 1
 RANK_BUCKETS = 16384
 LONGEST_DICTIONARY_WORD = 32
+#: Bytes of a match from which on its pairs wait in a heap.
+LONG_MATCH = 200
 #: A task forgets its folded words beyond this many, so that its memory stays bounded; results do not change.
 TASK_WORDS = 300_000
 #: Rows of an Arrow batch that are Python objects at a time.
@@ -110,22 +113,15 @@ def fold_merges(word: Column, ranks: Column) -> Column:
 
 
 def frequent_words(docs: DataFrame, text_col: str, pattern: str, most: int) -> DataFrame:
-    """The most frequent words of the whole table as ``word``: all that occur often enough for at most ``most`` of them.
+    """The ``most`` most frequent words of the whole table as ``word``, of equally frequent ones the alphabetically first.
 
-    Words are counted by partial aggregation; the cutoff comes from how many words have each count. Words of more than 32 bytes
+    Words are counted by partial aggregation, and every task passes on its ``most`` best at most. Words of more than 32 bytes
     are left to the tasks, which bounds the bytes of the result.
     """
     matches = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     counted = docs.select(F.explode(matches).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counted = saved(counted.filter(F.octet_length("word").between(1, LONGEST_DICTIONARY_WORD)), "word-counts")
-    steps = counted.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("words"))
-    total, cutoff = 0, NO_RANK
-    for row in steps.orderBy(F.desc("n")).collect():
-        total += row["words"]
-        if total > most:
-            break
-        cutoff = row["n"]
-    return counted.filter(F.col("n") >= cutoff).select("word")
+    return saved(counted.orderBy(F.desc("n"), "word").limit(most).select("word"), "frequent-words").repartition(64)
 
 
 def fold_words(words: DataFrame, ranks: Ranks) -> DataFrame:
@@ -141,6 +137,8 @@ def fold_in_task(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same fold for a word that the dictionary lacks."""
     if word in ranks:
         return [ranks[word]]
+    if len(word) > LONG_MATCH:
+        return fold_long(word, ranks)
     parts = [word[i : i + 1] for i in range(len(word))]
     pairs = [ranks.get(word[i : i + 2], NO_RANK) for i in range(len(word) - 1)]
     while pairs and (best := min(pairs)) != NO_RANK:
@@ -154,6 +152,36 @@ def fold_in_task(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same fold for a long match: pairs wait in a heap by rank and place, pieces are linked by where they end.
+
+    A merge makes at most two new pairs, so the time grows with the length and its logarithm, not with its square.
+    """
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n))  # of the piece that starts at a place; ``before`` is the start of the one before
+    waiting = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(word[i : i + 2])) is not None]
+    heapify(waiting)
+    while waiting:
+        _, i, stop = heappop(waiting)
+        middle = end[i]
+        if middle == 0 or middle >= n or end[middle] != stop:
+            continue  # one of the two has been merged since
+        end[i], end[middle] = stop, 0
+        if stop < n:
+            before[stop] = i
+            if (rank := ranks.get(word[i : end[stop]])) is not None:
+                heappush(waiting, (rank, i, end[stop]))
+        if i:
+            left = before[i]
+            if (rank := ranks.get(word[left:stop])) is not None:
+                heappush(waiting, (rank, left, stop))
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return ids
+
+
 def little_endian(ids: list[int]) -> bytes:
     return b"".join(i.to_bytes(4, "little") for i in ids)
 
