@@ -49,8 +49,9 @@ def exact_groups(
     )
     # A shuffled join at every size: the table of repeated hashes grows with the data.
     texts = saved(keyed.join(repeated.hint("merge"), "h").select("h", "id", "norm", "first_id"), "repeated-texts")
-    representative = (
-        texts.filter(F.col("id").eqNullSafe(F.col("first_id"))).groupBy("h").agg(F.min("norm").alias("rep"))
+    # Stored, because an aggregation right below the join would keep the texts of a large group from being split.
+    representative = saved(
+        texts.filter(F.col("id").eqNullSafe(F.col("first_id"))).groupBy("h").agg(F.min("norm").alias("rep")), "representatives"
     )
     # Rows whose bytes differ from their group's text although the hash agrees. As good as always none.
     differing = saved(
@@ -86,16 +87,18 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     and the columns of ``docs`` travel in one struct.
     """
     groups = exact_groups(docs, id_col, text_col, keep)
+
+    def key(identifier: Column, sha: Column) -> Column:
+        """Digest and id in one key, so that the copies of a text are spread over all tasks."""
+        return F.concat(sha, F.coalesce(identifier.cast("string"), F.lit("")).cast("binary"))
+
     winners = saved(
-        groups.filter("kept").select(
-            F.col(id_col).alias("__keep_id"), F.unhex("text_sha256").alias("__sha")
-        ),
-        "winners",
+        groups.filter("kept").select(F.col(id_col).alias("__keep_id"), key(F.col(id_col), F.unhex("text_sha256")).alias("__key")), "winners"
     )
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     sha = F.unhex(F.sha2(lower_ascii(F.col(f"__row.`{text_col}`")).cast("binary"), 256))
-    joined = rows.withColumn("__sha", sha).join(winners.hint("merge"), "__sha").filter(
+    joined = rows.withColumn("__key", key(F.col(f"__row.`{id_col}`"), sha)).join(winners.hint("merge"), "__key").filter(
         F.col(f"__row.`{id_col}`").eqNullSafe(F.col("__keep_id"))
     )
-    # One id with one text may be written several times: the join's order is by digest, so this needs no new sort.
-    return joined.groupBy("__sha").agg(F.first("__row").alias("__row")).select("__row.*")
+    # One id with one text may be written several times: the join's order is by its key, so this needs no new sort.
+    return joined.groupBy("__key").agg(F.first("__row").alias("__row")).select("__row.*")
