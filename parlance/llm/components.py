@@ -15,14 +15,15 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the node's smallest neighbour (or itself)."""
     near = _both_ways(edges)
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Stored: right below the join, an aggregation would keep the rows of a node with many neighbours from being split.
+    least = saved(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return near.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = saved(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     others = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.union(least.select("u", F.col("m").alias("v"))).distinct()
 

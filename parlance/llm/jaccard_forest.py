@@ -197,12 +197,13 @@ def near_duplicates(
     target_recall: float = TARGET_RECALL,
     trees: int = TREES,
     depth: int = DEPTH,
+    count_links: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Membership and links.
 
     Membership has a row per input row: ``doc_id``, ``class_id`` (smallest id of the near-duplicate class), ``copy_of`` (smallest id with
     the same shingle set), ``n_links`` (how many different shingle sets of the class that one is similar to, all pairs of the
-class verified). Links are pairs ``u`` > ``v`` of such
+    class verified; null unless ``count_links``). Links are pairs ``u`` > ``v`` of such
     smallest ids with their exact ``similarity``; together they span every class, and pairs inside a class that
     follow from them are not all spelt out.
 
@@ -227,6 +228,10 @@ class verified). Links are pairs ``u`` > ``v`` of such
         found.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.min("similarity").alias("similarity")), "all-links"
     )
     components = connected_components(links.select("u", "v"))
+    if not count_links:
+        found = members.join(saved(first.join(components.withColumnRenamed("id", "copy_of"), "copy_of", "left").select(
+            "digest", "copy_of", F.coalesce("component", "copy_of").alias("class_id")), "classes").hint("merge"), "digest")
+        return _with_blanks(found.withColumn("n_links", F.lit(None).cast("long")), rows, id_col), links
     # Inside a class every pair counts, also one that shares no prefix.
     classed = sets.join(components, "id", "left").select(
         "id", F.coalesce("component", "id").alias("key"), F.expr("octet_length(shingles) div 8").alias("size")
@@ -238,16 +243,20 @@ class verified). Links are pairs ``u`` > ``v`` of such
         classes.select("digest", "copy_of", F.coalesce("component", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
         "classes",
     )
-    found = members.join(classes.hint("merge"), "digest").select("id", "class_id", "copy_of", "n_links")
+    return _with_blanks(members.join(classes.hint("merge"), "digest"), rows, id_col), links
+
+
+def _with_blanks(found: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
+    """Membership with the rows that have no word, or no id, as classes of their own."""
     blank = rows.filter(F.col("id").isNull() | (F.translate("text", " \t\n\x0b\f\r", "") == "")).select(
         "id", F.col("id").alias("class_id"), F.col("id").alias("copy_of"), F.lit(0).cast("long").alias("n_links")
     )
-    return found.union(blank).withColumnRenamed("id", id_col), links
+    return found.select("id", "class_id", "copy_of", "n_links").union(blank).withColumnRenamed("id", id_col)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """``docs`` as they are with the smallest id of every near-duplicate class; blank texts and null ids stay."""
-    membership, _ = near_duplicates(docs, id_col, text_col, **options)
+    membership, _ = near_duplicates(docs, id_col, text_col, count_links=False, **options)
     dropped = saved(
         membership.filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__dropped")).distinct(), "dropped"
     )
