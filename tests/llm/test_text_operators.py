@@ -478,3 +478,39 @@ def test_query_digests(spark):
 def test_held_out_rule(spark):
     rows = spark.range(50).withColumnRenamed("id", "doc_id").withColumn("out", held_out("doc_id", 4, 2)).collect()
     assert all(r["out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+
+
+# Byte-level BPE at its limits
+
+
+def test_long_matches_fold_like_short_ones():
+    rng, rank_of = random.Random(9), dict(RANKS)
+    for alphabet in ("ab", "the quick", "äöü字", "aaaa"):
+        word = "".join(rng.choices(alphabet, k=66)).encode()[:195]
+        if word not in rank_of:
+            assert byte_bpe.fold_long(word, rank_of) == byte_bpe.fold_in_task(word, rank_of)
+
+
+def test_a_megabyte_of_letters_is_folded_in_seconds():
+    import time
+
+    word = "".join(random.Random(2).choices("etaoinshrdlu", k=1_000_000)).encode()
+    begin = time.perf_counter()
+    ids = byte_bpe.fold_long(word, dict(RANKS))
+    assert time.perf_counter() - begin < 20
+    pieces = {rank: piece for piece, rank in RANKS}
+    assert b"".join(pieces[i] for i in ids) == word
+
+
+def test_frequent_words_are_never_none(spark):
+    rows = spark.createDataFrame([(1, " a b c d e f" * 50), (2, " a b c g")], "doc_id long, text string")
+    found = byte_bpe.frequent_words(rows, "text", public_tokenizers.PATTERN, 4)
+    assert sorted(r["word"] for r in found.collect()) == [" a", " b", " c", " d"]
+
+
+def test_exact_copies_with_null_and_repeated_ids(spark):
+    rows = [(None, "same"), (None, "same"), (1, "SAME"), (2, "other"), (2, "other"), (3, None), (4, "")]
+    docs = frame(spark, [(i, t, "en") for i, t in rows])
+    kept = exact_dedup.drop_exact_copies(docs)
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(False, 0, "same"), (True, 2, "other"), (True, 3, None)]
+    assert kept.columns == docs.columns
