@@ -127,6 +127,21 @@ def parameter_grid(lists: DataFrame) -> DataFrame:
     return grid
 
 
+def spread_grid(values: DataFrame, lists: DataFrame, max_values: int = 10_000) -> DataFrame:
+    """Every row of ``values`` with every combination of the array columns of the one-row frame ``lists``.
+
+    The rows stay where they are; only the lists, of at most ``max_values`` elements together, travel to them.
+    """
+    short = saved(lists, "grid-lists")
+    n = short.select(F.expr(" + ".join(f"size(`{c}`)" for c in lists.columns))).first()[0]
+    if n > max_values:
+        raise ValueError(f"more than {max_values} values to combine with every row")
+    grid = values.join(F.broadcast(short))
+    for name in lists.columns:
+        grid = grid.withColumn(name, F.explode(name))
+    return grid
+
+
 def model_pairs(scores: DataFrame, model: str = "model", keys: Sequence[str] = ("fold",)) -> DataFrame:
     """Pair the scores of every two models per fold, each pair once in name order.
 

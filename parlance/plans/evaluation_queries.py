@@ -162,7 +162,7 @@ T4_SQL = "1::DOUBLE - sin(atan(abs(t) / 2)) * (1 + 0.5::DOUBLE * cos(atan(abs(t)
     "h17_paired_tests",
     with_ctes(
         FOLD_SCORES,
-        """s AS (SELECT * FROM fold_scores WHERE NOT (model = 'RO_0' AND fold = 3))""",
+        "s AS (SELECT * FROM fold_scores)",
         """pm AS (SELECT model, count(*) AS n, avg(accuracy) AS mean FROM s GROUP BY 1)""",
         """pairs AS (SELECT a.model AS model_a, b.model AS model_b, a.n AS na, b.n AS nb, a.mean AS mean_a, b.mean AS mean_b
         FROM pm a JOIN pm b ON a.model < b.model)""",
@@ -178,8 +178,7 @@ T4_SQL = "1::DOUBLE - sin(atan(abs(t) / 2)) * (1 + 0.5::DOUBLE * cos(atan(abs(t)
     ),
 )
 def _(spark, sf):
-    scores = fold_scores(spark, sf).filter("NOT (model = 'RO_0' AND fold = 3)")
-    tests = evaluation.paired_tests(scores, "accuracy", 5)
+    tests = evaluation.paired_tests(fold_scores(spark, sf), "accuracy", 5)
     tests = tests.fillna(9.0, ["mean_difference", "t", "p_value"]).fillna("none", ["error"]).fillna(False, ["significant"])
     return round_all(tests, "mean_a", "mean_b", "mean_difference", "t", "p_value", "alpha")
 

@@ -501,7 +501,7 @@ def _(spark, sf):
 
 TOPIC_JOIN = """topic_rows AS (SELECT m.id, m.group_name, m."timestamp", CAST(CASE WHEN e.vec_id % 7 = 0 THEN -1 ELSE e.label END
   AS INTEGER) AS topic FROM messages m JOIN embeddings e ON m.id = e.vec_id),
-  macro_map AS (SELECT DISTINCT label AS topic, concat('MACRO_', label % 4) AS macro_topic FROM embeddings WHERE label <> 9)"""
+  macro_map AS (SELECT DISTINCT label AS topic, concat('MACRO_', label % 4) AS macro_topic FROM embeddings)"""
 
 
 @query(

@@ -94,11 +94,11 @@ def macro_map(spark: SparkSession, sf_dir: str) -> DataFrame:
         "topic",
         F.concat(F.lit("MACRO_"), F.col("topic") % 4).alias("macro_topic"),
         (F.col("topic") % 2 == 0).alias("is_political"),
-    ).filter(F.col("topic") != 9)
+    )
 
 
 MACRO_MAP = """macro_map AS (SELECT DISTINCT label AS topic, concat('MACRO_', label % 4) AS macro_topic,
-  label % 2 = 0 AS is_political FROM embeddings WHERE label <> 9)"""
+  label % 2 = 0 AS is_political FROM embeddings)"""
 
 
 def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,12 +219,9 @@ def _(spark, sf):
     CROSS JOIN (SELECT DISTINCT p_type AS metric FROM part) CROSS JOIN (SELECT DISTINCT p_brand AS model FROM part)""",
 )
 def _(spark, sf):
-    lists = table(spark, sf, "part").agg(
-        F.collect_set("p_size").alias("n_neighbors"),
-        F.collect_set("p_type").alias("metric"),
-        F.collect_set("p_brand").alias("model"),
-    )
-    return joins.parameter_grid(lists)
+    parts = table(spark, sf, "part")
+    lists = parts.agg(F.collect_set("p_type").alias("metric"), F.collect_set("p_brand").alias("model"))
+    return joins.spread_grid(parts.select(F.col("p_size").alias("n_neighbors")).distinct(), lists)
 
 
 FOLD_SCORES = """fold_scores AS (SELECT concat(l_returnflag, l_linestatus, '_', l_linenumber % 2) AS model,

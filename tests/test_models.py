@@ -24,6 +24,39 @@ def log(spark):
     return spark.createDataFrame(rows, "model string, fold int, accuracy double")
 
 
+def test_merge_order_equals_one_pair_at_a_time(spark):
+    import random
+
+    from parlance.operators import topics
+
+    for n, seed in ((14, 1), (9, 2), (2, 3)):
+        rng = random.Random(seed)
+        link = {(a, b): rng.random() for a in range(n) for b in range(a + 1, n)}
+        rows = [(a, b, s) for (a, b), s in link.items()] + [(b, a, s) for (a, b), s in link.items()] + [(a, a, 1.0) for a in range(n)]
+        size, expected = dict.fromkeys(range(n), 1), []
+        while link:
+            (a, b), s = min(link.items(), key=lambda item: (-round(item[1], 9), item[0]))
+            expected.append((len(expected) + 1, a, b, round(s, 9), size[a] + size[b]))
+            for c in size.keys() - {a, b}:
+                left, right = link.pop((min(a, c), max(a, c))), link.pop((min(b, c), max(b, c)))
+                link[min(a, c), max(a, c)] = (left * size[a] + right * size[b]) / (size[a] + size[b])
+            del link[a, b]
+            size[a] += size.pop(b)
+        found = topics.merge_order(spark.createDataFrame(rows, "topic_a int, topic_b int, similarity double"))
+        assert sorted((r["step"], r["kept"], r["merged"], round(r["similarity"], 9), r["topics"]) for r in found.collect()) == expected
+    assert topics.merge_order(spark.createDataFrame([], "topic_a int, topic_b int, similarity double")).collect() == []
+
+
+def test_spread_grid_checks_its_lists(spark):
+    from parlance.operators import joins
+
+    values = spark.createDataFrame([(1,), (2,)], "a int")
+    lists = spark.createDataFrame([(["x", "y"], [0.1, 0.2, 0.3])], "b array<string>, c array<double>")
+    assert len({tuple(r) for r in joins.spread_grid(values, lists).collect()}) == 12
+    with pytest.raises(ValueError):
+        joins.spread_grid(values, lists, 4)
+
+
 def test_paired_tests_give_published_p_values(spark):
     got = {(r["model_a"], r["model_b"]): r for r in evaluation.paired_tests(log(spark), "accuracy", 5).collect()}
     assert got[("DISTILROBERTA_LR", "MINILM_LR")]["p_value"] == pytest.approx(4.3908e-07, rel=1e-3)

@@ -2,6 +2,7 @@
 
 import gzip
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +57,38 @@ def test_batches_log_failures_and_go_on(spark, tmp_path):
     assert [p.rsplit("/", 2)[1] for p in src.list_dump(spark, str(tmp_path / "extracted"))] == ["g1", "g2", "g3"]
 
 
+class Killed(BaseException):
+    """Ends a run like a lost driver: nothing catches it."""
+
+
+@pytest.mark.parametrize("dies_at", ["begun", "written", "done"])
+@pytest.mark.parametrize("batch", [1, 2])
+def test_a_killed_conversion_loses_and_repeats_nothing(spark, tmp_path, monkeypatch, dies_at, batch):
+    paths = [str(tmp_path / "extracted" / g / "a.tsv.gz") for g in ("g1", "g2", "g3")]
+    for i, g in enumerate(("g1", "g2", "g3")):
+        write_dump(tmp_path / "extracted" / g, "a.tsv.gz", [row(i, g)])
+    read = lambda session, some: src.add_lineage(src.read_dump(session, some))
+    append = sinks.append_log
+
+    def dying(rows, path, schema):
+        state = rows.first()
+        if state["batch"] == batch and (state["status"], dies_at) in (("begun", "begun"), ("done", "written")):
+            raise Killed
+        append(rows, path, schema)
+        if state["batch"] == batch and state["status"] == dies_at == "done":
+            raise Killed
+
+    monkeypatch.setattr(sinks, "append_log", dying)
+    out, ledger = str(tmp_path / "out"), str(tmp_path / "ledger")
+    with pytest.raises(Killed):
+        sinks.convert_in_batches(spark, paths, read, out, ledger, 1)
+    monkeypatch.setattr(sinks, "append_log", append)
+    again = sinks.convert_in_batches(spark, paths, read, out, ledger, 1)
+    assert sorted((r["batch"], r["status"]) for r in again.collect()) == [(1, "done"), (2, "done"), (3, "done")]
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [0, 1, 2]
+    assert sinks.convert_in_batches(spark, paths, read, out, ledger, 1).count() == 3
+
+
 def test_overwrite_is_idempotent_and_resume_adds_only_new_periods(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([(1, 2024, 1), (2, 2024, 2), (3, None, 2)], "id long, year int, month int")
