@@ -135,9 +135,11 @@ def type_token_ratios(types: Column, total: Column, suffix: str = "") -> dict[st
 def add_pattern_entities(df: DataFrame, text: str) -> DataFrame:
     """Entity counts of the types that are recognised by their form.
 
-    A match is blanked out before the next type is looked for, so a date is not three cardinals as well.
+    A match is blanked out before the next type is looked for, so a date is not three cardinals as well. Every pattern is about digits and
+    sees at most five characters behind and two before them, so longer stretches without a digit are shortened once, and the
+    patterns pass over short texts only.
     """
-    rows = with_computed(df, "__rest", tx.safe_lower(F.col(text)))
+    rows = with_computed(df, "__rest", F.regexp_replace(tx.safe_lower(F.col(text)), r"(\D{5})\D+(\D{2})", "$1$2"))
     for k, p in ENTITY_PATTERNS.items():
         columns = [c for c in rows.columns if c != "__rest"]
         step = F.struct(

@@ -11,7 +11,7 @@ from parlance.operators import features as ft
 from parlance.operators import filters, joins, selection, toxicity
 from parlance.plans.inputs import MESSAGES, macro_map, messages, post_topics, r6, table, with_ctes
 from parlance.plans.registry import query
-from parlance.session import scratch_path
+from parlance.session import scratch_path, spread
 from parlance.plans.text_queries import STOPWORDS
 from parlance.schemas import TOXICITY_SCORES
 
@@ -27,11 +27,11 @@ def round_all(df, *columns):
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def items(spark, sf):
-    return table(spark, sf, "lineitem").select(*FEATURES, "l_returnflag")
+    return spread(table(spark, sf, "lineitem").select(*FEATURES, "l_returnflag"), "l_extendedprice")
 
 
 def lookup(spark, sf):

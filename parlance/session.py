@@ -101,6 +101,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute a table that is stored in fewer files than there are cores, so that all of them parse its text.
+
+    A file of one row group is one task, however many splits Spark makes of it: the others are empty. A table of many files, or of a
+    few files that are large enough for several splits per core, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 4 * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Hint a broadcast only when ``df`` is proven to hold at most ``max_rows`` rows.
 
