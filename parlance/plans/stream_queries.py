@@ -62,6 +62,27 @@ def _(spark, sf):
     return streams.read_appended(spark, path, rows.schema).select("id", "group_name")
 
 
+ARRIVALS = """arrivals AS (SELECT id, group_name, ts, id % 5 AS file FROM repeated_posts),
+  marks AS (SELECT file, (SELECT max(ts) FROM arrivals b WHERE b.file < a.file) - INTERVAL 6 HOUR AS mark FROM (SELECT DISTINCT file FROM arrivals) a),
+  judged AS (SELECT id, group_name, ts, a.file, mark IS NOT NULL AND date_trunc('milliseconds', ts) < date_trunc('milliseconds', mark) AS late
+    FROM arrivals a JOIN marks USING (file)),
+  fates AS (SELECT id, group_name, CASE WHEN late THEN 'late' WHEN row_number() OVER (PARTITION BY id, group_name, late ORDER BY ts) = 1 THEN 'first'
+    ELSE 'repeated' END AS fate FROM judged)"""
+
+
+@query("k02_late_and_repeated", with_ctes(REPEATED_POSTS, ARRIVALS, select='SELECT id, group_name, fate, count(*) AS "rows" FROM fates GROUP BY 1, 2, 3'))
+def _(spark, sf):
+    """Posts arrive in five files, each of which spans all days; only the last six hours before the newest row seen are in time."""
+    source, path, state = (scratch_path(spark, n) for n in ("arriving", "sorted-out", "state"))
+    rows = repeated_posts(spark, sf).select("id", "group_name", streams.as_moment("ts").alias("ts"))
+    for file in range(5):
+        rows.filter(F.col("id") % 5 == file).coalesce(1).write.mode("append").parquet(source)
+        arriving = streams.read_stream(spark, source, rows.schema)
+        judged = streams.sort_out(arriving, "ts", ["id", "group_name"], "6 hours")
+        streams.drain(judged, state, streams.batch_writer(path, ["fate"]), one_batch=True)
+    return spark.read.parquet(path).groupBy("id", "group_name", "fate").agg(F.count("*").alias("rows"))
+
+
 def _counts(name, width, offset, start_sql):
     @query(
         name,

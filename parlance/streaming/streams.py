@@ -7,12 +7,15 @@ a repeated batch replace its own output.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parlance.operators import filters
 from parlance.operators.classify import predict
@@ -34,12 +37,15 @@ def read_stream(
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Process everything available now and wait for the end."""
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(write).start()
-    )
+def drain(
+    stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append", one_batch: bool = False
+) -> None:
+    """Process everything available now and wait for the end.
+
+    Streams with timers of processing time need ``one_batch``: Spark would otherwise go on with empty batches to serve the timers.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+    query = writer.trigger(**({"once": True} if one_batch else {"availableNow": True})).foreachBatch(write).start()
     query.awaitTermination()
 
 
@@ -87,6 +93,56 @@ def drop_duplicates(stream: DataFrame, moment: str, keys: Sequence[str], latenes
     return stream.withWatermark(moment, lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
+FIRST, REPEATED, LATE, UNDATED = "first", "repeated", "late", "undated"
+
+
+def sort_out(stream: DataFrame, moment: str, keys: Sequence[str], lateness: str, poll_ms: int = 60_000) -> DataFrame:
+    """Every row with its ``fate``: ``first`` of its key, ``repeated``, ``late`` (behind the watermark) or ``undated``.
+
+    Unlike ``drop_duplicates`` nothing disappears: rows that come too late to be judged, or repeat a key, go on and can be counted and
+    stored apart. A key's state is one number, the moment after which no repetition is expected (its first row plus ``lateness``). Timers
+    look every ``poll_ms`` milliseconds of processing time whether the watermark has passed it, and forget the key; so the state
+    holds the keys of the last ``lateness`` of event time, and a row of a forgotten key is a first one. Drain it with ``one_batch``. Null keys are keys. Other columns travel along; of rows that arrive together
+    the earliest is first.
+    """
+    marked = stream.withColumn("__moment", F.col(moment)).withWatermark("__moment", lateness)
+    names = stream.columns
+    schema = T.StructType([*stream.schema.fields, T.StructField("fate", T.StringType())])
+    keep_ms = interval_ms(lateness)
+
+    def judge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs()
+        if state.exists and state.get[0] < watermark:
+            state.remove()
+        if state.hasTimedOut:
+            if state.exists:
+                state.setTimeoutDuration(poll_ms)
+            return
+        rows = pd.concat(list(parts), ignore_index=True)
+        rows = rows.sort_values("__moment", kind="stable", na_position="last", ignore_index=True)
+        known = rows["__moment"].notna()
+        # Whole milliseconds, the watermark's unit.
+        ms = rows["__moment"].astype("datetime64[us]").astype("int64") // 1000
+        late = known & (ms < watermark)
+        fate = np.where(known, np.where(late, LATE, REPEATED), UNDATED).astype(object)
+        timely = np.flatnonzero(known & ~late)
+        if len(timely) and not state.exists:
+            fate[timely[0]] = FIRST
+            state.update((int(ms[timely[0]]) + keep_ms,))
+        if state.exists:
+            state.setTimeoutDuration(poll_ms)
+        yield rows[names].assign(fate=fate)
+
+    return marked.groupBy(*keys).applyInPandasWithState(judge, schema, "until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def interval_ms(text: str) -> int:
+    """Milliseconds of an interval such as ``2 days``; months have no fixed length."""
+    amount, unit = text.split()
+    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}[unit.rstrip("s")]
+    return int(amount) * seconds * 1000
+
+
 def tumbling_counts(
     stream: DataFrame, moment: str, keys: Sequence[str], lateness: str, width: str = "1 day", offset: str | None = None
 ) -> DataFrame:
