@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions.numbers import rounded
-from parlance.operators import filters, reports
+from parlance.operators import bitmaps, filters, reports
 from parlance.plans.inputs import (
     GRID_RESULTS,
     MACRO_MAP,
@@ -27,6 +27,7 @@ from parlance.plans.inputs import (
 )
 from parlance.plans.registry import query
 from parlance.schemas import TOXICITY_SCORES
+from parlance.session import scratch_path
 
 
 def day_text(column):
@@ -50,6 +51,36 @@ def _(spark, sf):
     return reports.monthly_unique(dated, "group_name", "month")
 
 
+@query(
+    "e01_unique_by_increments",
+    with_ctes(
+        REPEATED_POSTS,
+        select="""SELECT 'day' AS level, CAST(CAST(ts AS DATE) AS VARCHAR) AS period, group_name, count(DISTINCT id) AS messages,
+          count(DISTINCT user_id) AS users FROM repeated_posts GROUP BY 2, 3
+        UNION ALL SELECT 'week', CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR), group_name, count(DISTINCT id), count(DISTINCT user_id)
+          FROM repeated_posts GROUP BY 2, 3
+        UNION ALL SELECT 'all', 'all', group_name, count(DISTINCT id), count(DISTINCT user_id) FROM repeated_posts GROUP BY 3""",
+    ),
+)
+def _(spark, sf):
+    """Daily bitmaps filled by two increments that overlap; weeks and the whole are united from days, not counted from rows."""
+    days = repeated_posts(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    found = None
+    for number, name in (("id", "messages"), ("user_id", "users")):
+        path = scratch_path(spark, f"bitmaps-{name}")
+        for part in (days.filter("id % 3 > 0"), days.filter("id % 3 < 2")):
+            bitmaps.add_to_bitmaps(part, ["day"], ["group_name"], number, path)
+        stored = spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
+        levels = {"day": F.col("day"), "week": F.date_format(F.date_trunc("week", "day"), "yyyy-MM-dd"), "all": F.lit("all")}
+        counts = None
+        for level, period in levels.items():
+            keyed = stored.withColumns({"level": F.lit(level), "period": period})
+            some = bitmaps.counted(keyed, ["level", "period", "group_name"]).withColumnRenamed("n", name)
+            counts = some if counts is None else counts.unionByName(some)
+        found = counts if found is None else found.join(counts, ["level", "period", "group_name"], "left").fillna(0, [name])
+    return found
+
+
 @query(
     "e02_daily_unique",
     with_ctes(
