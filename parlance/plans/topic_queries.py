@@ -8,6 +8,7 @@ from parlance.functions import vectors as vec
 from parlance.functions.numbers import rounded
 from parlance.operators import clustering, coherence, hierarchy, joins, topics
 from parlance.operators.neighbours import nearest_neighbours
+from parlance.operators.reduction import leading_components, reduce_randomised
 from parlance.operators.lemmas import normalise
 from parlance.plans.inputs import MACRO_MAP, POST_TOPICS, macro_map, post_topics, r6, table, with_ctes
 from parlance.plans.registry import ORACLES, query
@@ -135,6 +136,32 @@ def reduced_points(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.array(*[coordinate(r) for r in (1, 2, 4)]).alias("v"))
 
 
+@query(
+    "g02_reduction_variance",
+    f"""WITH long_v AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings),
+    units AS (SELECT vec_id, d, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS u FROM long_v),
+    spread AS (SELECT sum(variance) AS total, max(variance) AS widest FROM (SELECT d, avg(u * u) - avg(u) * avg(u) AS variance FROM units GROUP BY d))
+    SELECT {r6('total')} AS total_variance, true AS between_bounds, true AS descending FROM spread""",
+)
+def _(spark, sf):
+    """The variances of the leading components lie between that of the widest coordinate and that of all; all of them add up to the total."""
+    vectors = table(spark, sf, "embeddings").select(F.col("embedding").alias("v"))
+    wide = vectors.select(F.posexplode("v").alias("d", "x"), F.sqrt(F.expr("aggregate(v, 0D, (a, x) -> a + CAST(x AS DOUBLE) * x)")).alias("l"))
+    widest = wide.groupBy("d").agg(F.var_pop(F.col("x") / F.col("l")).alias("s")).agg(F.max("s")).first()[0]
+    units = saved(vectors.select(F.expr("transform(v, x -> CAST(x AS DOUBLE) / sqrt(aggregate(v, 0D, (a, y) -> a + CAST(y AS DOUBLE) * y)))").alias("v")), "units")
+    _, every = leading_components(units, 64, 64, passes=1)
+    _, leading = leading_components(units, 64, 3, passes=12)
+    facts = (float(every.sum()), bool(widest * 0.99 <= leading[0] <= every[0] * 1.000001), bool((leading[:-1] >= leading[1:]).all()))
+    rows = spark.createDataFrame([facts], "total_variance double, between_bounds boolean, descending boolean")
+    return rows.withColumn("total_variance", rounded(F.col("total_variance")))
+
+
+@query("g02_randomised_reduction")
+def _(spark, sf):
+    reduced = reduce_randomised(vector_topics(spark, sf), "embedding", 3)
+    return reduced.select("id", *[rounded(F.abs(F.col("reduced")[i]), 4).alias(f"c{i}") for i in range(3)])
+
+
 N_NEAR, MIN_SAMPLES = 10, 4
 NEAR = f"""spots AS (SELECT vec_id AS id, {coordinate_sql(1)} AS a, {coordinate_sql(2)} AS b, {coordinate_sql(4)} AS c FROM embeddings),
   gaps AS (SELECT x.id, y.id AS other, sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) + (x.c - y.c) * (x.c - y.c)) AS distance
