@@ -113,15 +113,25 @@ def fold_merges(word: Column, ranks: Column) -> Column:
 
 
 def frequent_words(docs: DataFrame, text_col: str, pattern: str, most: int) -> DataFrame:
-    """The ``most`` most frequent words of the whole table as ``word``, of equally frequent ones the alphabetically first.
+    """About the ``most`` most frequent words of the whole table as ``word``.
 
-    Words are counted by partial aggregation, and every task passes on its ``most`` best at most. Words of more than 32 bytes
-    are left to the tasks, which bounds the bytes of the result.
+    Words are counted by partial aggregation. The cutoff comes from how many words have each count, counts grouped by thousandths of their
+    logarithm; of the group at the cutoff a part is taken by hash, so the result is never empty however many words are equally frequent.
+    Words of more than 32 bytes are left to the tasks, which bounds the bytes of the result.
     """
     matches = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     counted = docs.select(F.explode(matches).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counted = saved(counted.filter(F.octet_length("word").between(1, LONGEST_DICTIONARY_WORD)), "word-counts")
-    return saved(counted.orderBy(F.desc("n"), "word").limit(most).select("word"), "frequent-words").repartition(64)
+    group = F.floor(1000 * F.log2(F.col("n")))
+    sizes = counted.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("words"))
+    room, cutoff, share = most, -1, 1.0
+    for row in sizes.orderBy(F.desc("g")).collect():
+        if row["words"] >= room:
+            cutoff, share = row["g"], room / row["words"]
+            break
+        room -= row["words"]
+    chosen = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30))
+    return counted.filter((group > cutoff) | ((group == cutoff) & chosen)).select("word")
 
 
 def fold_words(words: DataFrame, ranks: Ranks) -> DataFrame:
