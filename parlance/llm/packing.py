@@ -43,7 +43,7 @@ class WordEncoder(dict[bytes, bytes]):
     """Ids (little-endian unsigned 32-bit) of words, made when asked for and kept by a worker. The tokenizer treats what white space separates on its own.
 
     A word of letters, with or without marks behind it, is one or two matches of the tokenizer's pattern, so its model is asked directly;
-    any other word goes through the whole tokenizer.
+    any other word goes through the whole tokenizer, which makes the string of a special token that token, as the library does by default.
     """
 
     def __init__(self, tokenizer: str) -> None:
@@ -51,7 +51,6 @@ class WordEncoder(dict[bytes, bytes]):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.split = self.tokenizer.model.tokenize
         self.alphabet, self.marks = byte_alphabet(), {"": b""}
         self.letters: dict[str, bytes] = {}

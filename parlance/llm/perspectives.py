@@ -15,6 +15,10 @@ from parlance.llm.common import computed
 from parlance.session import saved
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: What both marks begin with, and how a text that spells it is rendered, so that no text can end its turn or open another.
+MARK, PLAIN_MARK = "<|im_", "<| im_"
+#: Characters that could end a heading or spell a mark; each is rendered as ``_`` in a name.
+UNSAFE_IN_NAMES = r"[\x00-\x20\x7F<|>]"
 BLOCK_TURNS = 4096
 #: A role that is not a participant and keeps its own heading in every rendering.
 SYSTEM = "system"
@@ -48,7 +52,7 @@ def _piece(is_self: Column, is_system: Column) -> dict[str, Column]:
     heading = (
         F.when(is_system, F.lit(SYSTEM))
         .when(is_self, F.lit("assistant"))
-        .otherwise(F.concat(F.lit("user name="), F.col("speaker")))
+        .otherwise(F.concat(F.lit("user name="), F.regexp_replace("speaker", UNSAFE_IN_NAMES, "_")))
     )
     opening = F.concat(F.lit(START), heading, F.lit("\n"))
     return {
@@ -69,6 +73,9 @@ def rotate(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFram
     Participants are the distinct roles of a conversation except ``system``; a conversation of system turns only has no rendering. Turns
     are ordered by turn, role, text, with null turns first; repeated rows stay. A null role is the participant ``unknown``, an empty one
     ``unnamed``, null text is empty, rows with a null ``conv_id`` form one conversation. Other columns are not read.
+
+    A text that spells the beginning of a mark gets a blank inside it, and blanks, control characters and ``<|>`` in a name become ``_`` in the
+    heading, so every mark in a rendering is one of its turns' own. Roles that differ only there stay different participants.
     """
     role = F.coalesce(F.col("role").cast("string"), F.lit("unknown"))
     turns = conversations.select(
@@ -76,7 +83,7 @@ def rotate(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFram
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("turn").cast("long"), F.lit(-(2**63))).alias("turn_key"),
         F.when(role == "", "unnamed").otherwise(role).alias("speaker"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit(MARK), F.lit(PLAIN_MARK)).alias("text"),
     )
     placed = saved(_blocks(turns), "placed-turns")
     participants = (

@@ -132,7 +132,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = f"""
     WITH named AS (
         SELECT conv_id, turn, CASE WHEN coalesce(role, 'unknown') = '' THEN 'unnamed' ELSE coalesce(role, 'unknown') END AS speaker,
-               coalesce(text, '') AS text FROM conversations),
+               replace(coalesce(text, ''), '{perspectives.MARK}', '{perspectives.PLAIN_MARK}') AS text FROM conversations),
     placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, text) - 1 AS position FROM named),
     people AS (SELECT DISTINCT conv_id, speaker AS assistant FROM named WHERE speaker <> 'system'),
     rendered AS (
@@ -140,7 +140,8 @@ OP8_SQL = f"""
                CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = assistant THEN 'assistant' ELSE 'user' END AS role_as
         FROM placed p JOIN people q ON p.conv_id IS NOT DISTINCT FROM q.conv_id),
     pieces AS (
-        SELECT *, '{perspectives.START}' || role_as || CASE WHEN role_as = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS opening
+        SELECT *, '{perspectives.START}' || role_as || CASE WHEN role_as = 'user'
+               THEN ' name=' || regexp_replace(speaker, '{perspectives.UNSAFE_IN_NAMES}', '_', 'g') ELSE '' END || chr(10) AS opening
         FROM rendered),
     sized AS (
         SELECT *, opening || text || '{perspectives.END}' || chr(10) AS piece FROM pieces),

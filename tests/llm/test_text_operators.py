@@ -331,7 +331,6 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     docs = frame(spark, [r for r in EDGES if r[0] is not None and r[0] != 5] + [(50, "<|endoftext|> It's é 你好", "en")])
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack(packing.tokenise(docs, path, 2, 512), max_tokens=512, max_segments=4, max_loss_tokens=512).collect()
@@ -359,8 +358,10 @@ def test_word_encoder_equals_the_tokenizer():
     words = ["Hello,", "it's", "IT'S", "l'été", "été", "e\u0301te\u0301.", "İstanbul", "ΟΔΟΣ", "ΟΔΟΣ,", "ﬁn", "x1y", "a,b", "...", "!!", "don't!", "ß?", "你好!", "ª", "naïve;:", "A\u0308b"]
     words += ["'s,", "s", ",", "<|endoftext|>", "ab<|endoftext|>", "straße.", "ǅ", "\u0345x", "x\u200b.", "\x1cq"]
     words += ["THE!!", "thenes$$$", "a,\"b", "x-", "-x", "word.'s", "it's.", "don't$$", "ß%%%", "12%", "x1%", "<|endoftext|>,"]
+    words += ["<|startoftext|>a", "<|ENDOFTEXT|>", "é<|endoftext|>e\u0301", "<|endoftext|", "<|endoftext|><|endoftext|>"]
     for word in words:
         assert list(struct.unpack(f"<{len(encoder[word.encode()]) // 4}I", encoder[word.encode()])) == encoder.tokenizer.encode(word, add_special_tokens=False).ids, word
+    assert encoder[b"<|endoftext|>"] == struct.pack("<I", 49407)
 
 
 def test_packing_keeps_every_limit():
