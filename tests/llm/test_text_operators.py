@@ -295,6 +295,39 @@ def test_exact_passages_whose_seeds_come_first_elsewhere(spark):
     assert spans == {(2, 1, 30, 82), (7, 6, 30, 105)}
 
 
+@pytest.fixture(scope="module")
+def edited_passages(spark):
+    """Pairs of documents that share a passage of 80 words with an edit every so many words, and which of them are found."""
+    rng, rows, pairs = random.Random(3), [], {}
+    around = lambda words: " ".join([*invented(rng, 60), *words, *invented(rng, 60)])
+    for every in (7, 8, 10, 12, 20):
+        for _ in range(30):
+            passage, off = invented(rng, 80), rng.randrange(every)
+            changed = [f"edit{rng.random()}" if j % every == off else w for j, w in enumerate(passage)]
+            if every == 20:  # all its unchanged runs come first in another document, far from each other
+                runs = "".join("\n" if j % every == off else w + " " for j, w in enumerate(passage)).split("\n")
+                rows.append((len(rows), " ".join(sum(([*run.split(), *invented(rng, 30)] for run in runs), [])), "en"))
+            pairs.setdefault(every, []).append((len(rows) + 1, len(rows)))
+            rows += [(len(rows), around(passage), "en"), (len(rows) + 1, around(changed), "en")]
+    return pairs, {(r["doc_id"], r["source_id"]) for r in chaining.repeated_passages(frame(spark, rows)).collect()}
+
+
+@pytest.mark.parametrize("every", [7, 8, 10, 12, 20])
+def test_recall_of_edited_passages(edited_passages, every):
+    pairs, found = edited_passages
+    assert sum(pair in found for pair in pairs[every]) >= 0.9 * len(pairs[every])
+    assert found <= {pair for some in pairs.values() for pair in some}
+
+
+def test_passages_of_a_periodic_text(spark):
+    rng = random.Random(4)
+    again = ["la"] * 70 + ["do", "re"] * 40
+    rows = [(i, " ".join([*invented(rng, 30), *again, *invented(rng, 30)]), "en") for i in range(3)]
+    found = chaining.repeated_passages(frame(spark, rows)).collect()
+    for i in (1, 2):
+        assert set(range(30, 180)) <= set().union(*(range(r["start_word"], r["end_word"]) for r in found if r["doc_id"] == i))
+
+
 def test_passages_on_edges(spark):
     docs = frame(spark, EDGES)
     passages = chaining.repeated_passages(docs)
