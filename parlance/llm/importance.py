@@ -47,7 +47,9 @@ def feature_buckets(texts: pa.Array, longest: int, buckets: int) -> tuple[np.nda
     Words are dictionary-encoded; the codes of n-grams are pairs of the code of an n-1-gram and of the word after it, and the hash of every
     distinct pair is taken once.
     """
-    lowered = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
+    # Taken row by row: a slice shares the buffer of its array, and after the cast Arrow's lower-casing reads it from the wrong place.
+    whole = pc.fill_null(texts, "").cast(pa.large_string()).take(pa.array(np.arange(len(texts))))
+    lowered = pc.ascii_lower(whole)
     lists = pc.split_pattern_regex(lowered, pattern=SEPARATORS)
     rows, words = pc.list_parent_indices(lists), pc.list_flatten(lists)
     real = pc.not_equal(words, "")

@@ -146,6 +146,16 @@ def test_slices_keep_every_text_whole():
     assert [low for low, _ in parts] == [0, 2, 3]
 
 
+@pytest.mark.parametrize("missing", [None, ""])
+def test_features_of_a_slice_are_those_of_its_texts(missing):
+    texts = pa.array(["one Two", missing, "three", "Four five six", "", "İ seven"])
+    for low, some in importance.in_slices(texts, 9):
+        rows, found, n_words = importance.feature_buckets(some, 1, 10_000)
+        alone = [importance.feature_buckets(pa.array([t], pa.string()), 1, 10_000) for t in some.to_pylist()]
+        assert n_words.tolist() == [int(a[2][0]) for a in alone]
+        assert found.tolist() == [b for a in alone for b in a[1].tolist()]
+
+
 def test_a_target_like_the_corpus_gains_nothing():
     counts = np.array([5, 0, 9])
     assert importance.bucket_gains(counts, counts).tolist() == [0, 0, 0]
