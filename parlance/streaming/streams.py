@@ -37,6 +37,14 @@ def read_stream(
     return reader.parquet(path)
 
 
+def read_table_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A Parquet table as a stream, whether it is stored as one file or as a folder of files.
+
+    Spark takes the path of a stream for a folder; a pattern that only this path matches is listed either way.
+    """
+    return read_stream(spark, f"{path[:-1]}[{path[-1]}]", schema)
+
+
 def drain(
     stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append", one_batch: bool = False
 ) -> None:
@@ -96,44 +104,70 @@ def drop_duplicates(stream: DataFrame, moment: str, keys: Sequence[str], latenes
 FIRST, REPEATED, LATE, UNDATED = "first", "repeated", "late", "undated"
 
 
-def sort_out(stream: DataFrame, moment: str, keys: Sequence[str], lateness: str, poll_ms: int = 60_000) -> DataFrame:
+def sort_out(
+    stream: DataFrame, moment: str, keys: Sequence[str], lateness: str, poll_ms: int = 60_000, buckets: int = 64
+) -> DataFrame:
     """Every row with its ``fate``: ``first`` of its key, ``repeated``, ``late`` (behind the watermark) or ``undated``.
 
     Unlike ``drop_duplicates`` nothing disappears: rows that come too late to be judged, or repeat a key, go on and can be counted and
-    stored apart. A key's state is one number, the moment after which no repetition is expected (its first row plus ``lateness``). Timers
-    look every ``poll_ms`` milliseconds of processing time whether the watermark has passed it, and forget the key; so the state
-    holds the keys of the last ``lateness`` of event time, and a row of a forgotten key is a first one. Drain it with ``one_batch``. Null keys are keys. Other columns travel along; of rows that arrive together
-    the earliest is first.
+    stored apart. A key is remembered with one number, the moment after which no repetition is expected (its first row plus ``lateness``).
+    Keys share ``buckets`` states by their hash, because a call per key costs far more than its rows; a checkpoint belongs to one number of
+    buckets. Timers look every ``poll_ms`` milliseconds of processing time whether the watermark has passed a key, and forget it; so the
+    states hold the keys of the last ``lateness`` of event time, and a row of a forgotten key is a first one. Drain it with ``one_batch``.
+    Null keys are keys. Other columns travel along; of rows that arrive together the earliest is first.
     """
+    columns = stream.schema.fields
+    # Pandas turns whole numbers into floating point where some are missing, so long ones travel as text.
+    long = [f.name for f in columns if isinstance(f.dataType, T.LongType)]
+    schema = T.StructType([*[T.StructField(f.name, T.StringType()) if f.name in long else f for f in columns], T.StructField("fate", T.StringType())])
     marked = stream.withColumn("__moment", F.col(moment)).withWatermark("__moment", lateness)
+    marked = marked.withColumns({"__ms": F.unix_millis("__moment"), "__key": key_text(stream, keys)})
+    marked = marked.withColumns({"__bucket": F.pmod(F.xxhash64("__key"), F.lit(buckets)), **{c: F.col(f"`{c}`").cast("string") for c in long}})
     names = stream.columns
-    schema = T.StructType([*stream.schema.fields, T.StructField("fate", T.StringType())])
     keep_ms = interval_ms(lateness)
 
-    def judge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def judge(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         watermark = state.getCurrentWatermarkMs()
-        if state.exists and state.get[0] < watermark:
-            state.remove()
-        if state.hasTimedOut:
-            if state.exists:
-                state.setTimeoutDuration(poll_ms)
-            return
-        rows = pd.concat(list(parts), ignore_index=True)
-        rows = rows.sort_values("__moment", kind="stable", na_position="last", ignore_index=True)
-        known = rows["__moment"].notna()
-        # Whole milliseconds, the watermark's unit.
-        ms = rows["__moment"].astype("datetime64[us]").astype("int64") // 1000
-        late = known & (ms < watermark)
-        fate = np.where(known, np.where(late, LATE, REPEATED), UNDATED).astype(object)
-        timely = np.flatnonzero(known & ~late)
-        if len(timely) and not state.exists:
-            fate[timely[0]] = FIRST
-            state.update((int(ms[timely[0]]) + keep_ms,))
-        if state.exists:
+        known = {k: until for k, until in zip(*state.get) if until >= watermark} if state.exists else {}
+        judged = None
+        if not state.hasTimedOut:
+            rows = pd.concat(list(parts), ignore_index=True)
+            rows = rows.sort_values("__moment", kind="stable", na_position="last", ignore_index=True)
+            dated, ms = rows["__ms"].notna().to_numpy(), rows["__ms"].fillna(0).astype("int64").to_numpy()
+            late = dated & (ms < watermark)
+            fate = np.where(dated, np.where(late, LATE, REPEATED), UNDATED).astype(object)
+            timely = rows["__key"][dated & ~late].drop_duplicates()
+            for i, k in timely.items():
+                if k not in known:
+                    fate[i] = FIRST
+                    known[k] = int(ms[i]) + keep_ms
+            judged = rows[names].assign(fate=fate)
+        if known:
+            state.update((list(known), list(known.values())))
             state.setTimeoutDuration(poll_ms)
-        yield rows[names].assign(fate=fate)
+        elif state.exists:
+            state.remove()
+        if judged is not None:
+            yield judged
 
-    return marked.groupBy(*keys).applyInPandasWithState(judge, schema, "until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    fates = marked.groupBy("__bucket").applyInPandasWithState(
+        judge, schema, "keys array<string>, until array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+    return fates.withColumns({c: F.col(f"`{c}`").cast("long") for c in long})
+
+
+def key_text(df: DataFrame, keys: Sequence[str]) -> Column:
+    """The key columns as one text, equal where the keys are (nulls equal nulls)."""
+    fields = []
+    for k in keys:
+        kind, value = df.schema[k].dataType, F.col(f"`{k}`")
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            value = value + F.lit(0.0).cast(kind)  # no negative zero
+        elif isinstance(kind, T.TimestampType):
+            value = F.unix_micros(value)
+        fields.append(value.alias(k))
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return F.to_json(F.struct(*fields), exact)
 
 
 def interval_ms(text: str) -> int:
