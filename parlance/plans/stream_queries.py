@@ -17,7 +17,7 @@ from parlance.streaming import streams
 def events_stream(spark, sf):
     """The events table as a stream of posts."""
     schema = table(spark, sf, "events").schema
-    rows = streams.read_stream(spark, sf, schema, "events.parquet")
+    rows = streams.read_table_stream(spark, f"{sf}/events.parquet", schema)
     return rows.select(
         F.col("event_id").alias("id"), F.col("event_type").alias("group_name"), streams.as_moment("ts").alias("ts"),
         F.col("value").alias("score"),
@@ -28,7 +28,7 @@ def documents_stream(spark, sf):
     """The documents table as a stream of messages."""
     schema = table(spark, sf, "documents").schema
     i = F.col("doc_id")
-    return streams.read_stream(spark, sf, schema, "documents.parquet").select(
+    return streams.read_table_stream(spark, f"{sf}/documents.parquet", schema).select(
         i.alias("id"), F.col("source").alias("group_name"), "text", "lang",
         (F.lit(1704067200) + (i * 7919 % 366) * 86400 + (i * 104729 % 86400)).alias("timestamp"),
     )
