@@ -352,6 +352,27 @@ def test_chain_equals_exhaustive_search():
         assert total <= best.max() + 1e-9
 
 
+def test_a_passage_of_seeds_that_are_not_sampled_is_found(spark):
+    rng, words = random.Random(3), []
+    while len(words) < 50:
+        tried = [*words, f"w{rng.randrange(10**6)}"]
+        hashes = chaining.window_hashes(chaining.word_hashes(np.frombuffer(" ".join(tried).encode(), np.uint8))[0], chaining.SEED_WORDS)
+        if not len(hashes) or hashes[-1] % np.uint64(chaining.SAMPLE):
+            words = tried
+    fill = lambda: " ".join(f"f{rng.randrange(10**6)}" for _ in range(30))
+    texts = [f"{fill()} {' '.join(words)} {fill()}" for _ in range(2)]
+    found = chaining.repeated_passages(frame(spark, [(i, text, "en") for i, text in enumerate(texts)])).collect()
+    assert [(r["doc_id"], r["start_word"], r["end_word"], r["source_id"], r["similarity"]) for r in found] == [(1, 30, 80, 0, 1.0)]
+
+
+def test_of_eight_seeds_in_a_row_one_is_kept():
+    words = np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64)
+    _, places = chaining.seed_places(words)
+    assert np.diff(places).max() <= chaining.LONGEST_GAP and len(places) < 0.4 * len(words)
+    _, inside = chaining.seed_places(words[5000:5050])
+    assert set(places[(places >= 5008) & (places < 5038)]) <= set(5000 + inside)
+
+
 def test_edit_distance():
     a, b = np.array([1, 2, 3, 4, 5]), np.array([1, 3, 4, 9, 5, 6])
     assert chaining.edits(a, b) == 3 and chaining.edits(a, a) == 0 and chaining.edits(a[:0], b) == 6 and chaining.edits(b, a[:0]) == 6
