@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
+from parlance.functions.batches import by_slices, list_lengths
 from parlance.operators.filters import with_computed
 from parlance.session import broadcast_if_small, saved
 
@@ -69,9 +72,16 @@ def normalise(
 def _lemma_writer(known: DataFrame):
     shared = known.sparkSession.sparkContext.broadcast({r["token"]: r["lemma"] for r in known.toLocalIterator()})
 
-    @F.pandas_udf("string")
-    def write(texts: pd.Series) -> pd.Series:
+    def joined(lists: pa.Array) -> pa.Array:
         lemma = shared.value.get
-        return pd.Series(["" if words is None else " ".join([lemma(w) or w for w in words]) for words in texts], dtype=object)
+        distinct = lists.flatten().dictionary_encode()
+        found = pa.array([lemma(w) or w for w in distinct.dictionary.to_pylist()], pa.string())
+        offsets = np.append(0, np.cumsum(list_lengths(lists))).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), found.take(distinct.indices)), " ")
+
+    @F.arrow_udf("string")
+    def write(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield by_slices(column, joined)
 
     return write

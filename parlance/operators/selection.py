@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.ranking import cumulative, top_k
-from parlance.session import saved
+from parlance.session import broadcast_if_small, saved
 
 MAX_LABELS = 1000
 
@@ -105,8 +105,9 @@ def spearman_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     rows = []
     for one, other in combinations_with_replacement(list(classes.values()), 2):
         both = one if one is other else [*one, *other]
-        vectors = VectorAssembler(inputCols=both, outputCol="v").transform(numeric.select(*both).dropna()).select("v")
-        matrix = Correlation.corr(vectors, "v", "spearman").first()[0].toArray()
+        ranked = centred_ranks(numeric.select(*both).dropna(), both)
+        vectors = VectorAssembler(inputCols=both, outputCol="v").transform(ranked).select("v")
+        matrix = Correlation.corr(vectors, "v", "pearson").first()[0].toArray()
         for i, a in enumerate(both):
             for j, b in enumerate(both):
                 if (a in one and b in other) or (a in other and b in one):
@@ -114,6 +115,26 @@ def spearman_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, correlation double")
 
 
+def centred_ranks(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Every value replaced by its rank less the mean rank; ties share their average rank. No nulls.
+
+    Rows are counted per feature and value first. Ranks come from running sums of these counts and go back to the rows by value, in a broadcast
+    where a feature has few values, so that no row is ordered.
+    """
+    counts = df.unpivot([], list(features), "feature", "value").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = saved(counts, "value-counts")
+    running = cumulative(counts, ["feature"], "value", ["n"])
+    totals = saved(counts.groupBy("feature").agg(F.sum("n").alias("all_n")), "feature-totals")
+    ranks = running.join(F.broadcast(totals), "feature").select(
+        "feature", "value", (F.col("cum_n") - (F.col("n") - 1) / 2 - (F.col("all_n") + 1) / 2).alias("rank")
+    )
+    ranks = saved(ranks, "value-ranks")
+    for c in features:
+        of_one = ranks.filter(F.col("feature") == c).select(F.col("value").alias("__value"), F.col("rank").alias("__rank"))
+        df = df.join(broadcast_if_small(of_one), F.col(f"`{c}`") == F.col("__value")).drop("__value").withColumn(c, F.col("__rank")).drop("__rank")
+    return df
+
+
 def select_top(df: DataFrame, features: Sequence[str], ranking: DataFrame, n: int = 10, limit: float = 0.7) -> DataFrame:
     """The n best features, skipping those whose absolute rank correlation with a chosen one exceeds ``limit``.
 

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions.batches import by_slices, list_lengths
 from parlance.session import broadcast_if_small, saved
 
 MAX_TAGS = 100
@@ -155,21 +156,24 @@ def _tagger(model: TagModel, shared):
     start, follow = np.array(model.start, np.int64), np.array(model.follow, np.int64)
     names = pa.array(model.tags)
 
+    def tagged(column: pa.Array) -> pa.Array:
+        lengths = list_lengths(column)
+        inside = column.flatten()
+        if shared is None:
+            scores = inside.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, len(start))
+        else:
+            places, table = shared.value
+            distinct = inside.dictionary_encode()
+            known = np.array([places.get(w, len(table) - 1) for w in distinct.dictionary.to_pylist()] + [len(table) - 1])
+            scores = table[known[pc.fill_null(distinct.indices, len(known) - 1).to_numpy(zero_copy_only=False)]]
+        found = names.take(pa.array(best_paths(scores, lengths, start, follow)))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=np.append(column.is_null().to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(offsets, found)
+
     @F.arrow_udf("array<string>")
     def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            inside = column.flatten()
-            if shared is None:
-                scores = inside.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, len(start))
-            else:
-                places, table = shared.value
-                distinct = inside.dictionary_encode()
-                known = np.array([places.get(w, len(table) - 1) for w in distinct.dictionary.to_pylist()] + [len(table) - 1])
-                scores = table[known[pc.fill_null(distinct.indices, len(known) - 1).to_numpy(zero_copy_only=False)]]
-            found = names.take(pa.array(best_paths(scores, lengths, start, follow)))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=np.append(column.is_null().to_numpy(zero_copy_only=False), False))
-            yield pa.ListArray.from_arrays(offsets, found)
+            yield by_slices(column, tagged)
 
     return tag
 
