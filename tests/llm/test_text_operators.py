@@ -295,6 +295,66 @@ def test_exact_passages_whose_seeds_come_first_elsewhere(spark):
     assert spans == {(2, 1, 30, 82), (7, 6, 30, 105)}
 
 
+def test_passages_whose_pieces_come_first_in_several_layers_of_documents(spark):
+    rng = random.Random(9)
+    around = lambda words: " ".join([*invented(rng, 30), *words, *invented(rng, 30)])
+    passage, texts = invented(rng, 75), []
+    for cuts in ((25, 50), (20, 45, 60), (30, 55), (15, 40)):  # each layer has all its words, but in pieces
+        texts += [around(passage[low:high]) for low, high in zip((0, *cuts), (*cuts, 75))]
+    texts += [around(passage), around(passage), around([*passage[:37], "changed", *passage[38:]])]
+    first = len(texts) - 3
+    found = chaining.repeated_passages(frame(spark, [(i, text, "en") for i, text in enumerate(texts)])).collect()
+    spans = {(r["doc_id"], r["source_id"], r["start_word"], r["end_word"]) for r in found}
+    assert {x for x in spans if x[0] == first + 1} == {(first + 1, first, 30, 105)}
+    assert any(i == first + 2 and j in (first, first + 1) and low <= 30 and high >= 105 for i, j, low, high in spans)
+    assert all(i > first for i, *_ in spans)
+
+
+def test_a_passage_whose_pieces_come_first_in_its_own_source(spark):
+    rng = random.Random(10)
+    passage = invented(rng, 60)
+    pieces = [word for low in (0, 30) for word in [*passage[low : low + 30], *invented(rng, 70)]]
+    texts = [" ".join([*pieces, *passage, *invented(rng, 30)]), " ".join([*invented(rng, 30), *passage, *invented(rng, 30)])]
+    found = chaining.repeated_passages(frame(spark, [(i, text, "en") for i, text in enumerate(texts)])).collect()
+    assert [(r["doc_id"], r["source_id"], r["start_word"], r["end_word"], r["source_start"]) for r in found] == [(1, 0, 30, 90, len(pieces))]
+
+
+def test_all_words_of_shared_passages_are_found_by_brute_force(spark):
+    rng = random.Random(11)
+    lines, rows = [invented(rng, 18) for _ in range(9)], []
+    for i in range(60):  # lines of 18 words in any order: some three in a row come again, most come first apart from each other
+        picked = [rng.choice(lines) for _ in range(rng.randrange(1, 6))]
+        rows.append((i, " ".join([*invented(rng, 20), *sum(picked, []), *invented(rng, 20)]), "en"))
+    covered = {}
+    for r in chaining.repeated_passages(frame(spark, rows)).collect():
+        covered.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    first = {}
+    for i, text, _ in rows:
+        words = text.split()
+        for k in range(len(words) - 49):
+            if first.setdefault(tuple(words[k : k + 50]), i) != i:
+                assert set(range(k, k + 50)) <= covered[i]
+
+
+def test_what_cannot_become_a_passage_is_told_by_its_bytes():
+    rng = np.random.default_rng(12)
+    own, other = rng.integers(0, 3, (2, 400)).astype(np.uint8)
+    other[100:130] = own[100:130]
+    at = np.arange(60, 340)
+    edge = [np.zeros(len(at), int), np.full(len(at), 400)]
+    for step in (1, -1):
+        far = chaining.reach(own, at, *edge, other, at, *edge, step)
+        exact = [chaining.extend(own[i::step], other[i::step])[0] for i in at]
+        assert (far >= exact).all() and (far == exact).mean() > 0.8
+
+
+def test_of_passages_of_a_document_no_word_is_lost(spark):
+    rows = [(1, 0, 0, 60, 0, 60, 1.0), (1, 2, 10, 60, 0, 50, 1.0), (1, 3, 40, 100, 0, 60, 1.0), (1, 4, 0, 60, 0, 60, 1.0), (5, 2, 10, 60, 0, 50, 1.0)]
+    names = "id long, source_id long, start_word long, end_word long, source_start long, source_end long, similarity double"
+    kept = chaining.longest(spark.createDataFrame(rows, names)).collect()
+    assert sorted(tuple(r) for r in kept) == [rows[0], rows[2], rows[4]]
+
+
 @pytest.fixture(scope="module")
 def edited_passages(spark):
     """Pairs of documents that share a passage of 80 words with an edit every so many words, and which of them are found."""
